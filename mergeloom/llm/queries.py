@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, minhash, token_pack, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,12 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, root = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read(index, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, root = token_pack.pack_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+    return token_pack.read(files, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary), *vocabulary)
+    n, ids, decoded = bpe.digests(coded)
+    return coded.select("doc_id", n.alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_bundles": op2_warc_bundles,
+    "op3_token_bits": op3_token_bits,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 #: Rows (id, component) of the graph given as links(a, b) over nodes(id).
@@ -34,6 +56,17 @@ component AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_bundles": """
+WITH digests AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+fives AS (SELECT page_id, octet_length(payload) AS n, hex, list_transform(range(0, 8), lambda i: ('0x' || hex[5 * i + 1:5 * i + 5])::INT) AS f FROM digests),
+coded AS (
+    SELECT page_id, n, array_to_string(list_transform(f, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> b) & 31) + 1]), '')), '') AS payload_digest
+    FROM fives
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded)
+""",
     "op8_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
