@@ -13,7 +13,7 @@ import base64
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import ship
 
 #: Bytes of text for which a task holds ids at once; a longer text is held alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct pre-tokens, of at most so many characters, whose ids a worker remembers.
 CACHE_TOKENS, CACHE_CHARS = 200_000, 48
 
@@ -75,8 +75,8 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _bytes(2, trainer) + _bytes(3, normalizer)
 
 
-class Codec:
-    """Encoder and decoder of one rank file."""
+class Encoder:
+    """The encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
@@ -85,38 +85,59 @@ class Codec:
         self.ranks = read_ranks(path)
         self.find = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.ranks))
-        # The inverse mapping, read back from the model.
-        back = {0x100 + b: b for b in range(256)}
-        self.tokens = [self.model.id_to_piece(i).translate(back).encode("latin-1") for i in range(len(self.ranks))]
-        self.cache: dict[str, list[int]] = {}
-
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
+        self.cache: dict[str, bytes] = {}
+
+    def fresh(self, matches: list[str]) -> dict[str, bytes]:
+        """Little-endian 32-bit ids of matches that the cache lacks; it takes up short ones while it has room."""
+        # A match that is a token is that token, whether or not merges lead to it.
+        whole = [self.ranks.get(m.encode()) for m in matches]
+        rest = [mapped(m.encode()) for m, r in zip(matches, whole, strict=True) if r is None]
+        ids = iter(self.model.encode(rest, out_type=int, num_threads=1) if rest else [])
+        new = {m: struct.pack("<I", r) if r is not None else np.array(next(ids), "<u4").tobytes() for m, r in zip(matches, whole, strict=True)}
+        if (room := CACHE_TOKENS - len(self.cache)) > 0:
+            self.cache.update(islice(((m, i) for m, i in new.items() if len(m) <= CACHE_CHARS), room))
+        return new
+
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [self.find(t) for t in texts]
-        long: dict[str, list[int]] = {}
-        if missing := list(set().union(*split) - self.cache.keys()):
-            # A match that is a token is that token, whether or not merges lead to it.
-            whole = [self.ranks.get(m.encode()) for m in missing]
-            rest = [m for m, r in zip(missing, whole, strict=True) if r is None]
-            ids = iter(self.model.encode([mapped(m.encode()) for m in rest], out_type=int, num_threads=1) if rest else [])
-            if len(self.cache) + len(missing) > CACHE_TOKENS:
-                long = {m: self.cache[m] for s in split for m in s if m in self.cache}
-                self.cache.clear()
-            for m, r in zip(missing, whole, strict=True):
-                (self.cache if len(m) <= CACHE_CHARS and len(self.cache) < CACHE_TOKENS else long)[m] = next(ids) if r is None else [r]
-        if long:
-            known = self.cache
-            return [list(chain.from_iterable([long[m] if m in long else known[m] for m in s])) for s in split]
-        return [list(chain.from_iterable(map(self.cache.__getitem__, s))) for s in split]
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        known = self.cache.get
+        if missing := list(set().union(*split).difference(self.cache)):
+            new = self.fresh(missing)
+            return [np.frombuffer(b"".join([known(m) or new[m] for m in s]), "<u4") for s in split]
+        return [np.frombuffer(b"".join(map(self.cache.__getitem__, s)), "<u4") for s in split]
+
+
+class Decoder:
+    """The inverse mapping, read back from the model: all tokens' bytes, and where each one's begin."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(path)))
+        back = {0x100 + b: b for b in range(256)}
+        tokens = [model.id_to_piece(i).translate(back).encode("latin-1") for i in range(len(model) - 1)]
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids."""
+        sizes = self.sizes[ids]
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.blob[np.repeat(self.starts[ids], sizes) + within].tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path, pattern)
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for all tasks of a worker."""
-    return Codec(path, pattern)
+def decoder(path: str) -> Decoder:
+    """One for all tasks of a worker."""
+    return Decoder(path)
 
 
 def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
@@ -144,28 +165,28 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to:
     ship(docs.sparkSession)
 
     def run(batches):
-        use = codec(path, pattern)
+        use = encoder(path, pattern)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for part in slices(batch, _sizes(batch.column(at)), SLICE_BYTES):
                 ids = use.encode([t or "" for t in part.column(at).to_pylist()])
-                lens = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lens.sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32), pa.array(flat))], [*part.schema.names, to])
+                ends = np.cumsum([0, *map(len, ids)])
+                flat = np.concatenate(ids).view(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat))], [*part.schema.names, to])
 
     return docs.mapInArrow(run, _with(docs, to, "array<int>"))
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with a column of the ids' bytes, binary; null for null ids, empty for none."""
     ship(df.sparkSession)
 
     def run(batches):
-        use = codec(path, pattern)
+        use = decoder(path)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            for part in slices(batch, _sizes(batch.column(at)), SLICE_BYTES):
-                out = [None if i is None else use.decode(i) for i in part.column(at).to_pylist()]
+            for part in slices(batch, _sizes(batch.column(at)), SLICE_BYTES // 4):
+                out = [use.decode(i.values.to_numpy(zero_copy_only=False)) if i.is_valid else None for i in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, to])
 
     return df.mapInArrow(run, _with(df, to, "binary"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, token_pack, warc
+from . import bpe, decontam, embed_dedup, licenses, minhash, quality, quotes, token_pack, toxicity, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, root = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read(index, root, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -27,21 +31,55 @@ def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read(files, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def judged(scored: DataFrame, least: float) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judged(toxicity.score(docs, toxicity.fit(docs, quality.training_rows(table(spark, sf_dir, "labels")))), 0.5)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = quotes.link(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "text", "n_quoted", "n_linked", "parent_turn", "quoted_parent", "position")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(quality.score(table(spark, sf_dir, "documents"), quality.training_rows(table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary), *vocabulary)
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary).drop("text")
+    coded = bpe.decode(encoded, vocabulary[0])
     n, ids, decoded = bpe.digests(coded)
     return coded.select("doc_id", n.alias("n_tokens"), ids.alias("ids_sha256"), decoded.alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_warc_bundles": op2_warc_bundles,
     "op3_token_bits": op3_token_bits,
+    "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_quotation_linking": op6_quotation_linking,
+    "op7_quality": op7_quality,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -56,6 +94,15 @@ component AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+usable AS (SELECT * FROM nodes WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+degree AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id),
+{CLOSURE}
+SELECT n.id AS vec_id, coalesce(d.n, 0) AS n_links, component_id, n.id = component_id AS kept
+FROM nodes n JOIN component USING (id) LEFT JOIN degree d USING (id)
+""",
     "op2_warc_bundles": """
 WITH digests AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
 fives AS (SELECT page_id, octet_length(payload) AS n, hex, list_transform(range(0, 8), lambda i: ('0x' || hex[5 * i + 1:5 * i + 5])::INT) AS f FROM digests),

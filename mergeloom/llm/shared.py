@@ -16,8 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep their batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in (have := env.get("PYTHONPATH", "")).split(":"):
