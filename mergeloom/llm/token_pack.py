@@ -14,23 +14,25 @@ document is read from the blocks that hold it.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _sizes, slices
 from .shared import filesystem, materialize, ship, workspace
+from .textbytes import blocks
 
 MAGIC, VERSION, BLOCK = b"TOKBITS\0", 1, 1 << 14
 TRAILER = struct.Struct("<QQQIHH8s")
 #: Bytes of text encoded at once, tokens read at once, words a worker remembers and their length.
-SLICE_BYTES, READ_BLOCKS, CACHE_WORDS, CACHE_BYTES = 4 << 20, 64, 250_000, 48
+SLICE_BYTES, READ_BLOCKS, CACHE_WORDS, CACHE_BYTES = 4 << 20, 64, 500_000, 48
 
 
 def bits_for(vocabulary: int) -> int:
@@ -142,7 +144,9 @@ class WordEncoder:
     """A tokenizers file whose normaliser and splitter keep nothing of white space.
 
     Then a text's ids are those of its runs between ASCII spaces, one after the
-    other, and each distinct run is encoded once.
+    other, and each distinct run is encoded once.  Such a splitter, which lower-cases
+    too, also always parts an ASCII letter from a following mark like a comma; both
+    are done beforehand, so that a word has one form in the cache.
     """
 
     def __init__(self, path: str) -> None:
@@ -150,22 +154,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.cache: dict[bytes, list[int]] = {}
-
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        split = [t.split() for t in texts]
-        extra: dict[bytes, list[int]] = {}
-        if missing := list(set().union(*split) - self.cache.keys()):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)]
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                extra = {m: self.cache[m] for s in split for m in s if m in self.cache}
-                self.cache.clear()
-            for m, ids in zip(missing, got, strict=True):
-                (self.cache if len(m) <= CACHE_BYTES and len(self.cache) < CACHE_WORDS else extra)[m] = ids
-        if extra:
-            known = self.cache
-            return [list(chain.from_iterable([extra[m] if m in extra else known[m] for m in s])) for s in split]
-        return [list(chain.from_iterable(map(self.cache.__getitem__, s))) for s in split]
+        self.cache: dict[bytes, bytes] = {}
+
+    def fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Little-endian 32-bit ids of words that the cache lacks; it takes up short ones while it has room."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) * 4
+        flat = np.fromiter(chain.from_iterable(got), "<u4").tobytes()
+        new = {w: flat[a:b] for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+        if (room := CACHE_WORDS - len(self.cache)) > 0:
+            self.cache.update(islice(((w, i) for w, i in new.items() if len(w) <= CACHE_BYTES), room))
+        return new
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null ones have none."""
+        for i, j, data, offsets in blocks(column, SLICE_BYTES):
+            lower = _LOWER[data]
+            cut = np.flatnonzero(_LETTER[lower[:-1]] & _MARK[lower[1:]]) + 1
+            text = np.insert(lower, cut, 0x20).tobytes()
+            at = (offsets + np.searchsorted(cut, offsets)).tolist()
+            # A text that begins with a mark after another's last letter gets that space, which is nothing.
+            split = [text[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
+            missing = list(set().union(*split).difference(self.cache))
+            if missing:
+                new = self.fresh(missing)
+                known = self.cache.get
+                for words in split:
+                    yield np.frombuffer(b"".join([known(w) or new.get(w, b"") for w in words]), "<u4")
+            else:
+                for words in split:
+                    yield np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ",.;:!?"]] = True
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 def write(docs: DataFrame, to: str, tokenizer: str, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,22 +214,17 @@ def write(docs: DataFrame, to: str, tokenizer: str, vocabulary: int, end_id: int
     schema = pa.schema([("path", pa.string()), ("least", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())])
 
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        use, writer, path, least = WordEncoder(tokenizer), None, "", None
+        use, writer, path, least = encoder(tokenizer), None, "", None
         store, folder = filesystem(to)
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for part in slices(pa.RecordBatch.from_arrays([batch.column(0), texts], ["id", "text"]), _sizes(texts), SLICE_BYTES):
-                ids = part.column(0).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), use.encode(batch.column(1)), strict=True):
                 if writer is None:
                     store.create_dir(folder, recursive=True)
-                    path, least = f"{folder}/{uuid.uuid4().hex}.tok", ids[0]
+                    path, least = f"{folder}/{uuid.uuid4().hex}.tok", doc_id
                     writer = Writer(store.open_output_stream(path, compression=None), bits)
-                for doc_id, got in zip(ids, use.encode([t or b"" for t in part.column(1).to_pylist()]), strict=True):
-                    got.append(end_id)
-                    writer.add(doc_id, np.array(got, np.uint32))
+                writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             writer.out.close()
