@@ -3,9 +3,9 @@
 Texts become templates: numbers, units after a number and names (capitalised
 words within a sentence) turn into typed placeholders that keep their value, all
 other words are lower-cased.  Windows of the benchmark's templates are joined by
-hash with the windows of all documents.  Where they meet, template words are held
-against each other one by one, and the values of the slots on both sides must
-correspond: one benchmark value, one document value.  A document whose slots all
+hash with the windows of all documents.  Where an item stands in a document, the
+values of the slots on both sides must correspond: one benchmark value, one
+document value.  A document whose slots all
 agree holds the question itself; where some differ, but as a mapping, it holds
 the question with other parameters.
 
@@ -51,9 +51,11 @@ def canonical(words: Column) -> Column:
 
 
 def windows(words: Column, size: int | Column) -> Column:
-    """Hashes of all runs of ``size`` words of the canonical form; null for fewer words."""
-    last = lambda w: F.size(w) - size + 1
-    return let(canonical(words), lambda w: F.when(last(w) >= 1, F.transform(F.sequence(F.lit(1), last(w)), lambda i: F.xxhash64(F.slice(w, i, size)))))
+    """array<struct<hash, slots>> of all runs of ``size`` words: hash of the canonical words, and the placeholders; null for fewer words."""
+    each = lambda s, i: F.struct(F.xxhash64(F.slice(s["plain"], i, size)).alias("hash"), F.when(s["marked"], F.filter(F.slice(s["words"], i, size), lambda w: w.startswith(MARK))).alias("slots"))
+    last = lambda s: F.size(s["plain"]) - size + 1
+    parts = F.struct(words.alias("words"), canonical(words).alias("plain"), F.exists(words, lambda w: w.startswith(MARK)).alias("marked"))
+    return let(parts, lambda s: F.when(last(s) >= 1, F.transform(F.sequence(F.lit(1), last(s)), lambda i: each(s, i))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -61,9 +63,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     share: of the item's windows (an item shorter than ``window`` words is one
     window), those that the document has in some place, ``least_share`` or more.
-    n_slots, n_changed: placeholders met, and those with another value.  kind:
-    'exact', or 're-parameterised' if values differ but map one to one value;
-    where they don't map so, there is no row.
+    n_slots, n_changed: distinct pairs of placeholders in the place with most
+    windows, and those with another value.  kind: 'exact', or 're-parameterised'
+    if values differ.  Places where one value of the item meets several don't count.
 
     Null and empty texts, documents shorter than a window and items without words
     hold nothing and are held by nothing.  Rows that repeat a document's or an
@@ -73,37 +75,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     at = workspace(spark, "decontam")
-    items = benchmark.select(F.col(item_id).alias("item"), template(F.col(item_text)).alias("item_words")).where(F.col("item").isNotNull() & (F.size("item_words") > 0))
-    items = materialize(items.withColumn("size", F.least(F.lit(window), F.size("item_words"))), f"{at}/items")
-    parts = items.select("item", "size", F.posexplode(windows(F.col("item_words"), F.col("size"))).alias("item_at", "hash"))
+    items = benchmark.select(F.col(item_id).alias("item"), template(F.col(item_text)).alias("words")).where(F.col("item").isNotNull() & (F.size("words") > 0))
+    items = materialize(items.withColumn("size", F.least(F.lit(window), F.size("words"))), f"{at}/items")
+    # Where a document's case or sentence hides that a word is a name, it stands there as a plain word: items have windows of both forms.
+    unnamed = items.withColumn("words", F.transform("words", lambda w: F.when(w.startswith(f"{MARK}p"), F.substring(w, 3, 1 << 20)).otherwise(w)))
+    parts = items.unionByName(unnamed).select("item", "size", F.posexplode(windows(F.col("words"), F.col("size"))).alias("item_at", "w"))
+    parts = parts.select("item", "size", "item_at", "w.hash", F.col("w.slots").alias("item_slots")).dropDuplicates(["item", "size", "item_at", "hash"])
     parts = materialize(parts, f"{at}/windows")
-    total = parts.groupBy("item").agg(F.countDistinct("hash").alias("of"))
+    total = parts.groupBy("item").agg(F.count_distinct("item_at").alias("of"))
     sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # at most ``window``
-    count = parts.count()
+    side = F.broadcast(parts) if parts.count() <= BROADCAST_WINDOWS else parts
 
     texts = docs.select(F.col(id_col).alias("doc"), template(F.col(text_col)).alias("words")).where(F.col("doc").isNotNull())
-    per_size = let(F.col("words"), lambda w: F.array(*(F.struct(F.lit(s).alias("size"), windows(w, s).alias("hashes")) for s in sizes or [window])))
-    hashed = texts.select("doc", F.explode(per_size).alias("w")).select("doc", "w.*")
-    placed = hashed.select("doc", "size", F.posexplode("hashes").alias("at", "hash"))
-    side = parts.select("item", "size", "item_at", "hash")
-    side = F.broadcast(side) if count <= BROADCAST_WINDOWS else side
-    met = placed.join(side, ["hash", "size"]).groupBy("doc", "item", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.collect_set("hash").alias("hashes"))
-    # One row a document, item and offset; an item's windows bound the set.
-    met = materialize(met, f"{at}/met")
-    enough = met.select("doc", "item", F.explode("hashes").alias("hash")).groupBy("doc", "item").agg(F.countDistinct("hash").alias("n")).join(total, "item").where(F.col("n") >= least_share * F.col("of"))
-    enough = enough.select("doc", "item", (F.col("n") / F.col("of")).alias("share"))
-
-    # Only documents that hold enough are read again, to compare slots word by word.
-    held = met.select("doc", "item", "offset").join(enough, ["doc", "item"]).join(texts, "doc").join(items.select("item", "item_words"), "item")
-    first = F.greatest(F.lit(0), F.col("offset")).cast("int")
-    cut = F.slice("words", first + 1, F.size("item_words"))
-    item_cut = F.slice("item_words", (first - F.col("offset") + 1).cast("int"), F.size("item_words"))
-    pairs = F.arrays_zip(item_cut.alias("item"), cut.alias("doc"))
-    slots = F.filter(pairs, lambda p: F.coalesce(p["item"].startswith(MARK) & (F.substring(p["item"], 1, 2) == F.substring(p["doc"], 1, 2)), F.lit(False)))
-    values = held.select("doc", "item", "share", slots.alias("slots")).groupBy("doc", "item").agg(F.max("share").alias("share"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    changed = F.filter("slots", lambda p: p["item"] != p["doc"])
-    mapped = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
-    return values.where(mapped).select(
-        F.col("doc").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), "share", F.size("slots").cast("long").alias("n_slots"), F.size(changed).cast("long").alias("n_changed"),
-        F.when(F.size(changed) > 0, "re-parameterised").otherwise("exact").alias("kind"),
+    per_size = let(F.col("words"), lambda w: F.array(*(F.struct(F.lit(s).alias("size"), windows(w, s).alias("windows")) for s in sizes or [window])))
+    placed = texts.select("doc", F.explode(per_size).alias("w")).select("doc", "w.size", F.posexplode("w.windows").alias("at", "w")).select("doc", "size", "at", "w.hash", "w.slots")
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull() & p["doc"].isNotNull())
+    met = placed.join(side, ["hash", "size"]).select("doc", "item", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), F.coalesce(pairs, F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))
+    # An item's windows bound what is collected for a place where it stands.
+    place = met.groupBy("doc", "item", "offset").agg(F.collect_set("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    mapped = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
+    changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
+    best = F.max_by(F.struct(F.size("pairs").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")), F.struct(F.size("windows"), -F.col("offset")))
+    held = place.where(mapped).groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n"), best.alias("best")).join(total, "item").where(F.col("n") >= least_share * F.col("of"))
+    return held.select(
+        F.col("doc").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), (F.col("n") / F.col("of")).alias("share"), "best.n_slots", "best.n_changed",
+        F.when(F.col("best.n_changed") > 0, "re-parameterised").otherwise("exact").alias("kind"),
     )
