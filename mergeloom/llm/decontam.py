@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, ship, workspace
 
 #: A private-use character that begins placeholders; it is a letter of no text that means anything.
-MARK = ""
+MARK = "\ue000"
 #: Words that count as units directly after a number.
 UNITS = (
     "mm", "cm", "dm", "m", "km", "in", "ft", "yd", "mi", "miles?", "met(?:er|re)s?", "inch(?:es)?", "feet", "foot", "yards?", "mg", "g", "kg", "t", "tons?", "grams?", "oz", "ounces?", "lbs?", "pounds?",
