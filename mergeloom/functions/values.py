@@ -39,11 +39,16 @@ def known(value: Column, kind: T.DataType) -> Column:
     return F.when(~F.isnan(value), value) if isinstance(kind, FLOATS) else value
 
 
+def orderable(kind: T.DataType) -> bool:
+    """Whether Spark can order values of the type: not maps and variants, nor what holds them."""
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind)
+    return orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def ordered(value: Column, kind: T.DataType) -> Column:
     """A form of the value that Spark can order and compare, for any type."""
-    if isinstance(kind, (T.MapType, T.VariantType)):
-        return F.to_json(value)
-    return value
+    return value if orderable(kind) else F.to_json(value)
 
 
 def python_text(value: Column, kind: T.DataType) -> Column:

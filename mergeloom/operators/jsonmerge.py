@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import as_list, last_of_each
+from ..functions.values import as_list, last_of_each, orderable
 
 
 def merge_values(a: Column, b: Column, kind: T.DataType, b_wins: Column | bool = True) -> Column:
@@ -23,7 +23,7 @@ def merge_values(a: Column, b: Column, kind: T.DataType, b_wins: Column | bool =
     if isinstance(kind, T.StructType):
         both = F.struct(*(merge_values(a[f.name], b[f.name], f.dataType, wins).alias(f.name) for f in kind))
     elif isinstance(kind, T.ArrayType):
-        both = F.array_distinct(F.concat(a, b)) if not isinstance(kind.elementType, (T.MapType, T.VariantType)) else F.concat(a, b)
+        both = F.array_distinct(F.concat(a, b)) if orderable(kind.elementType) else F.concat(a, b)
     elif isinstance(kind, T.MapType):
         both = F.map_zip_with(a, b, lambda k, x, y: merge_values(x, y, kind.valueType, wins))
     else:

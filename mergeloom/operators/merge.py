@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strategies import LWW, MergeSchema, Strategy
-from ..functions.values import as_list, canonical_keys, last_of_each, ordered, seconds
+from ..functions.values import as_list, canonical_keys, last_of_each, orderable, ordered, seconds
 from .schema import widen_type
 
 Schema = MergeSchema | Mapping[str, str | Strategy] | None
@@ -57,7 +57,7 @@ def _cell(c: str, kind: T.DataType, a: DataFrame, b: DataFrame, decide) -> Colum
     if c not in b.columns:
         return F.col("a")[c]
     va, vb = F.col("a")[c], F.col("b")[c]
-    same = va.eqNullSafe(vb) if not isinstance(kind, (T.MapType, T.VariantType)) else F.to_json(va).eqNullSafe(F.to_json(vb))
+    same = ordered(va, kind).eqNullSafe(ordered(vb, kind))
     return F.when(vb.isNull() | same, va).when(va.isNull(), vb).otherwise(decide(va, vb))
 
 
@@ -110,7 +110,7 @@ def merge(
             # Whole rows can repeat only where the key is null: others are one row a key.
             some_null = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
             nulls = out.where(some_null)
-            out = out.where(~some_null).unionByName(nulls.dropDuplicates() if not any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in out.schema) else nulls)
+            out = out.where(~some_null).unionByName(nulls.dropDuplicates() if all(orderable(f.dataType) for f in out.schema) else nulls)
     if fuzzy_dedup:
         from .dedup import fuzzy_rows
 
