@@ -16,7 +16,7 @@ from .functions.strategies import Concat, LongestWins, LWW, MaxWins, MergeSchema
 from .operators import context, dedup, delta, governance, jsonmerge, merkle, model, sketch, state, trust
 from .operators import merge as m
 from .operators.schema import union_evolved
-from .plans.mergeql import MergeQL
+from .plans.language import MergeLanguage
 from .session import ship
 from .sources.sqltext import merge_sql
 from .streaming import merge as streams
@@ -217,7 +217,7 @@ def fold_duplicates(spark, sf_dir):
 
 
 def _regions(spark, sf_dir, statement):
-    ql = MergeQL(spark)
+    ql = MergeLanguage(spark)
     for i, name in enumerate(("east", "west", "south")):
         ql.register(name, spark_sql(spark, sf_dir, STAFF % (i, i)))
     return ql.execute(statement)
@@ -227,17 +227,17 @@ _ALL = " UNION ALL ".join(STAFF % (i, i) for i in range(3))
 
 
 @query(f"SELECT c_custkey, max(c_name) AS c_name, max(c_acctbal) AS c_acctbal, min(c_mktsegment) AS c_mktsegment FROM ({_ALL}) GROUP BY c_custkey")
-def mergeql_three_way(spark, sf_dir):
+def language_three_way(spark, sf_dir):
     return _regions(spark, sf_dir, "MERGE east, west, south ON c_custkey STRATEGY c_acctbal = max, c_mktsegment = min")
 
 
 @query(f"SELECT c_custkey, max(c_name) AS customer, max(c_acctbal) AS c_acctbal, max(c_mktsegment) AS segment FROM ({_ALL}) WHERE (c_acctbal >= 150 AND c_mktsegment LIKE 'BUILD%-1') OR c_name IN ('x', 'y') OR (c_custkey > 700 AND NOT c_acctbal < 0) GROUP BY c_custkey ORDER BY c_custkey LIMIT 50")
-def mergeql_where_map_limit(spark, sf_dir):
+def language_where_map_limit(spark, sf_dir):
     return _regions(spark, sf_dir, "MERGE east, west, south ON c_custkey WHERE (c_acctbal >= 150 AND c_mktsegment LIKE 'BUILD%-1') OR c_name IN ('x', 'y') OR (c_custkey > 700 AND NOT c_acctbal < 0) MAP c_name -> customer, c_mktsegment -> segment LIMIT 50")
 
 
 @query(f"SELECT * FROM (SELECT c_custkey, max(c_name) AS c_name, max(c_acctbal) AS c_acctbal, max(c_mktsegment) AS c_mktsegment FROM ({_ALL}) GROUP BY c_custkey) WHERE c_acctbal > 9000 AND c_mktsegment IS NOT NULL")
-def mergeql_having(spark, sf_dir):
+def language_having(spark, sf_dir):
     return _regions(spark, sf_dir, "MERGE east, west, south ON c_custkey STRATEGY c_acctbal = max HAVING c_acctbal > 9000 AND c_mktsegment IS NOT NULL")
 
 

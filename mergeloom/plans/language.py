@@ -27,7 +27,7 @@ _TOKEN = re.compile(r"""\s*(?:(?P<text>'(?:[^']|'')*'|"(?:[^"]|"")*")|(?P<op><=|
 _CLAUSES = ("STRATEGY", "WHERE", "HAVING", "MAP", "LIMIT")
 
 
-class MergeQLError(ValueError):
+class LanguageError(ValueError):
     """The text isn't a statement, or names what isn't there."""
 
 
@@ -50,7 +50,7 @@ def tokens(text: str) -> list[Token]:
     while at < len(text.rstrip()):
         m = _TOKEN.match(text, at)
         if not m:
-            raise MergeQLError(f"can't read {text[at:at + 20]!r} at {at}")
+            raise LanguageError(f"can't read {text[at:at + 20]!r} at {at}")
         kind = m.lastgroup
         value = m[kind]
         if kind == "text":
@@ -84,7 +84,7 @@ class _Parser:
 
     def fail(self, wanted: str):
         t = self.peek()
-        raise MergeQLError(f"expected {wanted}, found {t.value!r} at {t.at}" if t else f"expected {wanted}, found the end")
+        raise LanguageError(f"expected {wanted}, found {t.value!r} at {t.at}" if t else f"expected {wanted}, found the end")
 
     def take(self, what: str, test: Callable[[Token], bool]) -> str:
         t = self.peek()
@@ -121,7 +121,7 @@ class _Parser:
         while self.peek() is not None:
             clause = self.take(" or ".join(_CLAUSES), lambda t: t.word(*_CLAUSES)).upper()
             if clause in seen:
-                raise MergeQLError(f"{clause} comes twice")
+                raise LanguageError(f"{clause} comes twice")
             seen.add(clause)
             if clause == "STRATEGY":
                 st.strategies = dict(self.several(self.rule))
@@ -237,7 +237,7 @@ def parse(text: str) -> Statement:
     return _Parser(text).statement()
 
 
-class MergeQL:
+class MergeLanguage:
     """Named sources and the statements over them; results are lazy DataFrames."""
 
     def __init__(self, spark: SparkSession) -> None:
@@ -265,7 +265,7 @@ class MergeQL:
 
     def _source(self, name: str) -> DataFrame:
         if name not in self.sources:
-            raise MergeQLError(f"no source {name!r}; known are {', '.join(self.list_sources()) or 'none'}")
+            raise LanguageError(f"no source {name!r}; known are {', '.join(self.list_sources()) or 'none'}")
         return self.sources[name]
 
     def execute(self, text: str) -> DataFrame:
@@ -279,12 +279,12 @@ class MergeQL:
         try:
             rules = MergeSchema.of({c: strategy(s) for c, s in st.strategies.items()})
         except ValueError as e:
-            raise MergeQLError(str(e)) from e
+            raise LanguageError(str(e)) from e
         frames = [self._source(s) for s in st.sources]
         every = {c for f in frames for c in f.columns}
         for c in [*st.keys, *st.strategies, *st.renames, *st.where_columns]:
             if c not in every:
-                raise MergeQLError(f"no column {c!r} in {', '.join(st.sources)}")
+                raise LanguageError(f"no column {c!r} in {', '.join(st.sources)}")
         if st.where is not None:
             lacking = [f.withColumns({c: F.lit(None).cast("string") for c in st.where_columns if c not in f.columns}) for f in frames]
             frames = [w.where(st.where()).select(f.columns) for w, f in zip(lacking, frames, strict=True)]

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mergeloom.operators import context, dedup, delta, governance, jsonmerge, merkle, model, schema, sketch, state, trust
-from mergeloom.plans.mergeql import MergeQL, MergeQLError, parse
+from mergeloom.plans.language import MergeLanguage, LanguageError, parse
 
 
 @pytest.fixture
 def ql(spark):
-    q = MergeQL(spark)
+    q = MergeLanguage(spark)
     q.register("east", spark.createDataFrame([(1, "Ann", 100, "eng"), (2, "Bob", 200, "ops"), (3, "Cy", -5, "")], "id long, name string, salary long, dept string"))
     q.register("west", spark.createDataFrame([(1, "Anna", 150, "eng"), (4, "Di", 90, None)], "id long, name string, salary long, dept string"))
     return q
@@ -33,7 +33,7 @@ def test_language(ql, rows):
 
 @pytest.mark.parametrize("text", ["MERGE", "MERGE east", "MERGE nowhere, east ON id", "MERGE east, west ON id WHERE", "MERGE east, west ON id WHERE salary ~ 3", "MERGE east, west ON id LIMIT x", "MERGE east, west ON id STRATEGY salary = nope", "MERGE east, west ON id LIMIT 1 LIMIT 2", "MERGE east, west ON nokey"])
 def test_language_errors(ql, text):
-    with pytest.raises(MergeQLError):
+    with pytest.raises(LanguageError):
         ql.execute(text)
 
 
