@@ -326,11 +326,134 @@ def dual_projection(df: DataFrame, base: DataFrame, plasticity: float = 0.5, col
     return _per_layer(df, fn, base)
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max())
+    return e / e.sum()
+
+
+def ada_merging(df: DataFrame, bins: int = 64, rate: float = 0.01, steps: int = 100) -> DataFrame:
+    """Coefficients from the entropy of each model's values (the more peaked, the more), then moved towards models near the merge."""
+    def fn(models, _):
+        entropy = []
+        for m in models:
+            p = np.histogram(m, bins)[0] / m.size
+            entropy.append(-(p[p > 0] * np.log(p[p > 0])).sum())
+        c = _softmax(-np.array(entropy))
+        for _ in range(steps):
+            distance = ((models - c @ models) ** 2).mean(1)
+            c = c * (1 - rate * distance / max(distance.sum(), TINY))
+            c = c / c.sum()
+        return c @ models
+
+    return _per_layer(df, fn, None)
+
+
+def dam(df: DataFrame, rate: float = 0.01, steps: int = 50) -> DataFrame:
+    """Equal coefficients, moved step by step towards the models nearest the merge."""
+    def fn(models, _):
+        c = np.full(len(models), 1 / len(models))
+        for _ in range(steps):
+            near = 1 / (1 + np.linalg.norm(models - c @ models, axis=1))
+            c = (1 - rate) * c + rate * near / near.sum()
+        return c @ models
+
+    return _per_layer(df, fn, None)
+
+
+def _fitness(merged: np.ndarray) -> float:
+    return -float(merged.var())
+
+
+def evolutionary(df: DataFrame, population: int = 20, generations: int = 50, fitness: Callable[[np.ndarray], float] = _fitness, seed: int = 42) -> DataFrame:
+    """Coefficients by evolution: the better half of each generation mutates, the best ever seen merges."""
+    def fn(models, _):
+        rng = np.random.default_rng(seed)
+        crowd, spread = rng.dirichlet(np.ones(len(models)), population), 0.3
+        best = max(crowd, key=lambda c: fitness(c @ models))
+        for _ in range(generations):
+            crowd = np.array(sorted(crowd, key=lambda c: -fitness(c @ models)))[: max(1, population // 2)]
+            if fitness(crowd[0] @ models) > fitness(best @ models):
+                best = crowd[0]
+            young = np.abs(crowd[rng.integers(len(crowd), size=population - len(crowd))] + rng.normal(0, spread, (population - len(crowd), len(models)))) + TINY
+            crowd, spread = np.concatenate([crowd, young / young.sum(1, keepdims=True)]), spread * 0.97
+        return best @ models
+
+    return _per_layer(df, fn, None)
+
+
+def genetic(df: DataFrame, population: int = 20, generations: int = 50, mutation: float = 0.1, fitness: Callable[[np.ndarray], float] = _fitness, seed: int = 42) -> DataFrame:
+    """Coefficients by tournaments, uniform crossover and mutation; the best stays in."""
+    def fn(models, _):
+        rng, n = np.random.default_rng(seed), len(models)
+        crowd = rng.dirichlet(np.ones(n), population)
+        for _ in range(generations):
+            worth = np.array([fitness(c @ models) for c in crowd])
+            parents = rng.integers(population, size=(2, population - 1, 2))
+            winners = np.where(worth[parents[..., 0]] >= worth[parents[..., 1]], parents[..., 0], parents[..., 1])
+            young = np.where(rng.random((population - 1, n)) < 0.5, crowd[winners[0]], crowd[winners[1]])
+            young = np.abs(young + np.where(rng.random(young.shape) < mutation, rng.normal(0, mutation, young.shape), 0)) + TINY
+            crowd = np.concatenate([crowd[[worth.argmax()]], young / young.sum(1, keepdims=True)])
+        return max(crowd, key=lambda c: fitness(c @ models)) @ models
+
+    return _per_layer(df, fn, None)
+
+
+def representation_surgery(df: DataFrame, method: str = "center", columns: int = 0) -> DataFrame:
+    """The mean, its drift put right: to the inputs' mean ('center'), also to their variance ('rescale'), or decorrelated first ('whiten')."""
+    def fn(models, _):
+        out, mean, dev = models.mean(0), models.mean(), np.sqrt(models.var(1).mean())
+        if method == "whiten" and columns and out.size % columns == 0:
+            x = _matrix(out - out.mean(), columns)
+            values, basis = np.linalg.eigh(np.cov(x.T) + TINY * np.eye(columns))
+            out = (x @ basis / np.sqrt(np.maximum(values, TINY)) @ basis.T).ravel()
+        if method in ("rescale", "whiten"):
+            out = (out - out.mean()) / max(out.std(), TINY) * dev
+        return out - out.mean() + mean
+
+    return _per_layer(df, fn, None)
+
+
+def merge_adapters(df: DataFrame, weights: Mapping | None = None, rank: str = "max") -> DataFrame:
+    """Low-rank adapters (model_id, module, rank, a: array (rank x in), b: array (out x rank)) as one for each module.
+
+    The weighted mean of the products b a is factored again by its singular
+    values, to the greatest, least or mean rank of the adapters, or to that which
+    holds 99 % of its energy ('adaptive').
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.array([1.0 if weights is None else float(weights.get(m, 0.0)) for m in pdf["model_id"]])
+        w = w / w.sum()
+        total = sum(x * (np.array(b).reshape(-1, r) @ np.array(a).reshape(r, -1)) for x, r, a, b in zip(w, pdf["rank"], pdf["a"], pdf["b"], strict=True))
+        u, s, v = np.linalg.svd(total, full_matrices=False)
+        ranks = pdf["rank"].to_numpy()
+        energy = np.cumsum(s**2) / max((s**2).sum(), TINY)
+        k = {"max": ranks.max(), "min": ranks.min(), "mean": round(float(ranks.mean())), "adaptive": int(np.searchsorted(energy, 0.99) + 1)}[rank]
+        k = int(min(max(k, 1), len(s)))
+        root = np.sqrt(s[:k])
+        return pd.DataFrame({"module": [pdf["module"].iloc[0]], "rank": [k], "a": [(root[:, None] * v[:k]).ravel().tolist()], "b": [(u[:, :k] * root).ravel().tolist()]})
+
+    return df.sort("model_id").groupBy("module").applyInPandas(run, "module string, rank int, a array<double>, b array<double>")
+
+
+def run_stages(frames: Mapping[str, DataFrame], stages: Mapping[str, tuple[Sequence[str], Callable[..., DataFrame]]]) -> dict[str, DataFrame]:
+    """Stages {name: (inputs, function)} in an order in which every input comes first; a circle or a name that isn't there is an error."""
+    done, waiting = dict(frames), dict(stages)
+    while waiting:
+        ready = [n for n, (inputs, _) in waiting.items() if all(i in done for i in inputs)]
+        if not ready:
+            raise ValueError(f"stages wait for each other or for what isn't there: {', '.join(sorted(waiting))}")
+        for n in ready:
+            inputs, fn = waiting.pop(n)
+            done[n] = fn(*(done[i] for i in inputs))
+    return done
+
+
 #: By name: whether the strategy needs a base.
 STRATEGIES: dict[str, tuple[Callable[..., DataFrame], bool]] = {
     "weight_average": (weight_average, False), "task_arithmetic": (task_arithmetic, True), "slerp": (slerp, False), "ties": (ties, True), "dare": (dare, True), "della": (della, True), "dare_ties": (dare_ties, True),
     "model_breadcrumbs": (breadcrumbs, True), "emr": (emr, True), "star": (star, True), "svd_knot_tying": (svd_knot_tying, True), "adarank": (adarank, True), "fisher_merge": (fisher, False), "regression_mean": (regression_mean, False),
     "negative_merge": (negative, True), "split_unlearn_merge": (split_unlearn, True), "weight_scope_alignment": (weight_scope_alignment, False), "safe_merge": (safe_merge, True), "led_merge": (led_merge, False), "dual_projection": (dual_projection, True),
+    "ada_merging": (ada_merging, False), "dam": (dam, False), "evolutionary_merge": (evolutionary, False), "genetic_merge": (genetic, False), "representation_surgery": (representation_surgery, False),
 }
 
 

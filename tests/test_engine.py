@@ -224,3 +224,15 @@ def test_governance(spark, rows):
     assert governance.prometheus(governance.metrics(ops, ["op"])).count() >= 8
     stamped = [governance.encrypt_columns(df.withColumn("ts", F.lit(t)).withColumn("name", F.lit(n)), ["name"], key) for t, n in ((1.0, "old"), (2.0, "new"))]
     assert {r.name for r in governance.decrypt_columns(governance.merge_encrypted(*stamped, "id", "ts", ["name"]), {"name": "string"}, key).collect()} == {"new"}
+
+
+def test_adapters_and_stages(spark, rows):
+    ad = spark.createDataFrame([("m1", "q", 1, [1.0, 2.0], [3.0, 4.0]), ("m2", "q", 1, [1.0, 2.0], [3.0, 4.0])], "model_id string, module string, rank int, a array<double>, b array<double>")
+    for rank in ("max", "min", "mean", "adaptive"):
+        r = model.merge_adapters(ad, rank=rank).first()
+        assert r["rank"] == 1 and [round(x * y, 6) for x in r.b for y in r.a] == [3.0, 6.0, 4.0, 8.0]
+    df = spark.range(3)
+    out = model.run_stages({"in": df}, {"c": (["b"], lambda x: x.limit(1)), "b": (["in"], lambda x: x.limit(2))})
+    assert out["c"].count() == 1
+    with pytest.raises(ValueError, match="wait for"):
+        model.run_stages({}, {"a": (["b"], None), "b": (["a"], None)})

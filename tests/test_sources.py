@@ -102,3 +102,48 @@ def test_sorted_merge(spark, rows):
     assert [tuple(r) for r in streams.merge_sorted(a, b, "k").collect()] == [(1, "z"), (1, "b"), (2, "y"), (3, "c")] or rows(streams.merge_sorted(a, b, "k")) == [(1, "b"), (1, "z"), (2, "y"), (3, "c")]
     jumbled = spark.createDataFrame([(0, 1), (1, 5), (2, 3)], "i long, k long")
     assert rows(streams.unsorted(jumbled, ["k"], "i"), "k") == [(3,)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from mergeloom.cli import main
+
+    (tmp_path / "a.csv").write_text("id,v,t\n1,5,x\n2,1,y\n")
+    (tmp_path / "b.csv").write_text("id,v,t\n1,7,w\n3,2,z\n")
+    a, b = f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"
+    run = lambda *args: (main(args, spark), sorted(map(json.loads, capsys.readouterr().out.splitlines()), key=str))[1]
+    assert [r["v"] for r in run("merge", a, b, "--key", "id", "--strategy", "v=max")] == [7, 1, 2]
+    assert len(run("diff", a, b, "--key", "id")) == 4 and len(run("merkle", a, b, "--key", "id")) == 3
+    assert len(run("query", "MERGE a, b ON id WHERE v > 1", "--source", f"a={a}", f"b={b}")) == 2
+    assert main(["delta", a, b, "--key", "id", "--out", f"{tmp_path}/d.parquet"], spark) == 0
+    assert [r["t"] for r in run("apply", a, f"{tmp_path}/d.parquet", "--key", "id")] == ["w", "z"]
+    assert len(run("dedup", a, "--order", "id")) == 2 and len(run("provenance", a, b, "--key", "id")) == 6 and run("scan", a) == []
+    assert main(["verify", a, b, a, "--key", "id", "--strategy", "v=max"], spark) == 0
+
+
+def test_wire(spark):
+    from mergeloom.operators import wire
+
+    value = {"a": [1, -2**62, 1.5, None, True, "é"], 2: {"x", "y"}, "b": b"\x00", "n": {}}
+    for compress in (False, True):
+        data = wire.serialize(value, "map", compress)
+        assert wire.deserialize(data) == value and wire.peek(data)["kind"] == "map" and wire.peek(data)["size"] == len(data)
+        with pytest.raises(wire.WireError):
+            wire.deserialize(data[:-1])
+    with pytest.raises(wire.WireError):
+        wire.peek(b"nope" + bytes(20))
+    df = spark.createDataFrame([({"a": 1},), (None,)], "c map<string,long>")
+    assert [r[0] for r in df.select(wire.from_wire(wire.to_wire(F.col("c")), "map<string,bigint>")).collect()] == [{"a": 1}, None]
+
+
+def test_async(spark):
+    import asyncio
+
+    from mergeloom.streaming import aio
+
+    a, b = spark.createDataFrame([(1, 5)], "id long, v long"), spark.createDataFrame([(1, 7), (2, 1)], "id long, v long")
+
+    async def both():
+        return await aio.amerge(a, b, "id", schema={"v": "max"}), [len(x) async for x in aio.amerge_stream(a, b, "id", size=1)], [len(x) async for x in aio.amerge_sorted_stream(a, b, "id")]
+
+    rows_, one, two = asyncio.run(both())
+    assert sorted(map(tuple, rows_)) == [(1, 7), (2, 1)] and one == [1, 1] and two == [2]
