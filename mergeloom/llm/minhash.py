@@ -226,12 +226,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     nodes = full.join(classes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     posts = nodes.select("id", "prefix", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    common = posts.groupBy("value").count().where("count > 1")
+    # Written, so that the joins below have plain exchanges on both sides, whose skewed partitions Spark can split.
+    common = materialize(posts.groupBy("value").count().where("count > 1"), f"{at}/common")
     rarest = posts.join(common, "value").groupBy("id").agg(F.max("prefix").alias("prefix"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("found"))
     # The values of one list alone are the rarest, and use up the prefix first.
     room = F.greatest(F.lit(0), F.col("prefix") - (F.col("m") - F.size("found")))
     lists = materialize(rarest.select("id", F.explode(F.slice("found", 1, room)).alias("f")).select("id", F.col("f.value").alias("value")), f"{at}/lists")
-    heads = lists.groupBy("value").agg(F.min("id").alias("head"), F.count("*").alias("count")).where("count > 1")
+    heads = materialize(lists.groupBy("value").agg(F.min("id").alias("head"), F.count("*").alias("count")).where("count > 1").drop("count"), f"{at}/heads")
     clusters = connected_components(lists.join(heads, "value").where("id != head").select("id", "head"), "id", "head")
 
     sized = clusters.join(nodes.select(F.col("id").alias("node"), "n"), "node")
