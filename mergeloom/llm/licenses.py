@@ -92,7 +92,7 @@ FAMILIES = (
     ("cc-by", r"(?:cc by|creative commons attribution)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by(?: \\d \\d)?", "creativecommons org licenses by"),
     ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by sa(?: \\d \\d)?", "creativecommons org licenses by sa"),
     ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: license)?(?: \d \d)?(?: international| unported)?", "cc by nd(?: \\d \\d)?", "creativecommons org licenses by nd"),
-    ("cc-by-nc-any", r"(?:cc by nc|creative commons attribution non ?commercial)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by nc(?: \\d \\d)?", "creativecommons org licenses by nc"),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by nc(?: \\d \\d)?", "creativecommons org licenses by nc"),
     ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by nc sa(?: \\d \\d)?", "creativecommons org licenses by nc sa"),
     ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: license)?(?: \d \d)?(?: international| unported)?", "cc by nc nd(?: \\d \\d)?", "creativecommons org licenses by nc nd"),
     ("openrail", r"(?:creativeml |bigscience |bigcode )?(?:open )?rail(?: m)?", "(?:bigscience |creativeml )?openrail(?: m)?", "huggingface co spaces license"),

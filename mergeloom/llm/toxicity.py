@@ -29,7 +29,7 @@ TRAINING_ROWS, VOCABULARY, LEAST_DOCS = 20_000, 1024, 5
 #: Bytes of the beginnings of words that are features.
 STEMS = (4, 5, 6)
 #: Steps of Adam, its rate, and the L2 penalty of a weight.
-STEPS, RATE, PENALTY = 250, 0.1, 1e-4
+STEPS, RATE, PENALTY = 300, 0.1, 1e-5
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
