@@ -77,13 +77,25 @@ def canonical_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns({k: canonical_text(F.col(k)) for k in keys if k in text})
 
 
+def null_key(keys: Sequence[str]) -> Column:
+    """Whether any part of the key is null."""
+    out = F.col(keys[0]).isNull()
+    for k in keys[1:]:
+        out |= F.col(k).isNull()
+    return out
+
+
 def last_of_each(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
-    """One row for each key: the last in the order of ``order_by``, by default of all other columns; rows with a null key all stay."""
+    """One row for each whole key: the last in the order of ``order_by``, by default of all other columns.
+
+    The window leaves rows dealt and sorted by key, as a join on the key wants
+    them; rows with a null in the key are not among them.
+    """
     others = [f for f in df.schema if f.name not in keys]
     order = [F.col(c).desc_nulls_last() for c in order_by] if order_by else []
     order += [ordered(F.col(f.name), f.dataType).desc_nulls_last() for f in others]
-    some_null = F.greatest(*(F.col(k).isNull() for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or [F.lit(0)])))
-    # Rows without a whole key are no copies of each other.
-    whole = df.where(~some_null).withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return whole.unionByName(df.where(some_null))
+    name = "__rank"
+    while name in df.columns:
+        name += "_"
+    return df.where(~null_key(keys)).withColumn(name, rank).where(F.col(name) == 1).drop(name)

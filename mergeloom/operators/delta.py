@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strategies import MergeSchema
 from ..functions.values import as_list, last_of_each, ordered
-from .merge import Schema, joined, merge
+from .merge import Schema, joined
 
 
 def content(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -24,7 +25,7 @@ def content(df: DataFrame, keys: Sequence[str]) -> Column:
 def compute_delta(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """What turns ``old`` into ``new``; rows with a null in the key are left out, of repeated keys the last counts."""
     keys = as_list(key)
-    a, b = (last_of_each(df.dropna(subset=keys), keys) for df in (old, new))
+    a, b = (last_of_each(df, keys) for df in (old, new))
     both, kinds = joined(a, b, keys)
     same = F.lit(True)
     for c, kind in kinds.items():
@@ -38,16 +39,24 @@ def compute_delta(old: DataFrame, new: DataFrame, key: str | Sequence[str]) -> D
 
 
 def apply_delta(df: DataFrame, delta: DataFrame, key: str | Sequence[str], schema: Schema = None) -> DataFrame:
-    """``df`` after the delta: removed keys go, added rows overwrite, modified ones overwrite or, with ``schema``, merge."""
-    keys = as_list(key)
-    bare = delta.drop("_op")
-    left = df.join(delta.where("_op = 'removed'").select(*keys), keys, "left_anti")
-    if schema is not None:
-        left = merge(left, delta.where("_op = 'modified'").drop("_op"), keys, schema=schema, on_duplicate="unique", dedup=False)
-        put = delta.where("_op = 'added'").drop("_op")
-    else:
-        put = delta.where("_op <> 'removed'").drop("_op")
-    return left.join(put.select(*keys), keys, "left_anti").unionByName(put, allowMissingColumns=True).select(df.columns + [c for c in bare.columns if c not in df.columns])
+    """``df`` after the delta, by one join: removed keys go, added rows overwrite, modified ones overwrite or, with ``schema``, merge.
+
+    Rows of ``df`` with a null in the key stay as they are.
+    """
+    keys, rules = as_list(key), MergeSchema.of(schema)
+    both, kinds = joined(df, delta, keys)
+    op, zero = F.col("b._op"), F.lit(0.0)
+    cells = []
+    for c, kind in kinds.items():
+        if c == "_op":
+            continue
+        old = F.col("a")[c] if c in df.columns else F.lit(None).cast(kind)
+        new = F.col("b")[c] if c in delta.columns else F.lit(None).cast(kind)
+        if schema is not None and c not in keys:
+            merged = F.when(old.isNull(), new).when(new.isNull(), old).otherwise(rules[c].pair(old, new, zero, zero, kind).cast(kind))
+            new = F.when((op == "modified") & F.col("a").isNotNull(), merged).otherwise(new)
+        cells.append(F.when(F.col("b").isNull(), old).otherwise(new).alias(c))
+    return both.where(op.isNull() | (op != "removed")).select(*cells)
 
 
 def compose_deltas(deltas: Sequence[DataFrame], key: str | Sequence[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def merge_lines(a: DataFrame, b: DataFrame, key: str | Sequence[str] | None = No
     if key is None:
         return a.unionByName(b, allowMissingColumns=True).dropDuplicates()
     keys = as_list(key)
-    a, b = (last_of_each(df.dropna(subset=keys), keys) for df in (a, b))
+    a, b = (last_of_each(df, keys) for df in (a, b))
     kinds = {f.name: f.dataType for f in [*b.schema, *a.schema]}
     x, y = (df.select(F.struct(*df.columns).alias(n), *(F.col(k).alias(f"{n}_{k}") for k in keys)) for df, n in ((a, "x"), (b, "y")))
     on = [F.col(f"x_{k}") == F.col(f"y_{k}") for k in keys]

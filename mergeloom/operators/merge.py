@@ -15,22 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strategies import LWW, MergeSchema, Strategy
-from ..functions.values import as_list, canonical_keys, last_of_each, orderable, ordered, seconds
+from ..functions.values import as_list, canonical_keys, last_of_each, null_key, orderable, ordered, seconds
 from .schema import widen_type
 
 Schema = MergeSchema | Mapping[str, str | Strategy] | None
 
 
-def _prepared(df: DataFrame, keys: list[str], on_duplicate: str, null_keys: str, order_by, schema: MergeSchema, ts: str | None, nfc: bool) -> DataFrame:
-    df = canonical_keys(df, keys) if nfc else df
-    if null_keys == "drop":
-        df = df.dropna(how="any", subset=keys)
+def _prepared(df: DataFrame, keys: list[str], on_duplicate: str, order_by, schema: MergeSchema, ts: str | None) -> DataFrame:
+    """Rows with a whole key, each key once."""
     if on_duplicate == "last":
         return last_of_each(df, keys, order_by)
+    whole = df.where(~null_key(keys))
     if on_duplicate == "fold":
-        return fold(df, keys, schema, ts)
+        return fold(whole, keys, schema, ts)
     if on_duplicate == "unique":
-        return df
+        return whole
     raise ValueError("on_duplicate is 'last', 'fold' or 'unique'")
 
 
@@ -43,10 +42,18 @@ def _kinds(a: DataFrame, b: DataFrame) -> dict[str, T.DataType]:
 
 
 def joined(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[str, T.DataType]]:
-    """The full outer join with columns a.<name> and b.<name> as structs a and b (null where a side has no row)."""
+    """The full outer join with columns a.<name> and b.<name> as structs a and b (null where a side has no row).
+
+    Keys also stand beside the structs, under other names, so that Spark sees
+    through the projection how a side is dealt and sorted already.
+    """
     kinds = _kinds(a, b)
-    side = lambda df, name: df.select(F.struct(*(F.col(c).cast(kinds[c]).alias(c) for c in df.columns)).alias(name))
-    on = reduce(lambda x, y: x & y, [F.col("a")[k] == F.col("b")[k] for k in keys])
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        at = [(F.col(k) if dict(df.dtypes)[k] == kinds[k].simpleString() else F.col(k).cast(kinds[k])).alias(f"__{name}_{i}") for i, k in enumerate(keys)]
+        return df.select(*at, F.struct(*(F.col(c).cast(kinds[c]).alias(c) for c in df.columns)).alias(name))
+
+    on = reduce(lambda x, y: x & y, [F.col(f"__a_{i}") == F.col(f"__b_{i}") for i in range(len(keys))])
     return side(a, "a").join(side(b, "b"), on, "full_outer"), kinds
 
 
@@ -85,7 +92,8 @@ def merge(
         keys = as_list(key)
         ts = timestamp_col or ("_ts" if "_ts" in a.columns and "_ts" in b.columns else None)
         rules = MergeSchema.of(schema)
-        a, b = (_prepared(df, keys, on_duplicate, null_keys, order_by, rules, ts, nfc) for df in (a, b))
+        given = [canonical_keys(df, keys) if nfc else df for df in (a, b)]
+        a, b = (_prepared(df, keys, on_duplicate, order_by, rules, ts) for df in given)
         both, kinds = joined(a, b, keys)
         stamp = lambda side, df: seconds(F.col(side)[ts], kinds[ts]) if ts and ts in df.columns else F.lit(0.0)
         ta, tb = stamp("a", a), stamp("b", b)
@@ -106,11 +114,13 @@ def merge(
 
         cells = [F.coalesce(F.col("a")[c], F.col("b")[c]).alias(c) if c in keys else _cell(c, kind, a, b, decide(c)).alias(c) for c, kind in kinds.items()]
         out = both.select(*cells)
-        if dedup and null_keys == "keep":
-            # Whole rows can repeat only where the key is null: others are one row a key.
-            some_null = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
-            nulls = out.where(some_null)
-            out = out.where(~some_null).unionByName(nulls.dropDuplicates() if all(orderable(f.dataType) for f in out.schema) else nulls)
+        if null_keys == "keep":
+            # They meet no other row, so they pass by the join; the scan for them skips what has no nulls.
+            apart = [df.where(null_key(keys)).select(*(F.col(c).cast(kinds[c]).alias(c) for c in df.columns)) for df in given]
+            nulls = apart[0].unionByName(apart[1], allowMissingColumns=True)
+            out = out.unionByName(nulls.dropDuplicates() if dedup and all(orderable(f.dataType) for f in nulls.schema) else nulls)
+        elif null_keys != "drop":
+            raise ValueError("null_keys is 'keep' or 'drop'")
     if fuzzy_dedup:
         from .dedup import fuzzy_rows
 
@@ -145,9 +155,8 @@ def merge_many(sources: Sequence[DataFrame], key: str | Sequence[str], schema: S
             kinds[f.name] = widen_type(kinds[f.name], f.dataType) if f.name in kinds else f.dataType
     same = [s.select(*(F.col(c).cast(kinds[c]).alias(c) for c in s.columns)) for s in sources]
     rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), same)
-    some_null = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
-    folded = fold(rows.where(~some_null), keys, schema, timestamp_col)
-    return folded.unionByName(rows.where(some_null)) if null_keys == "keep" else folded
+    folded = fold(rows.where(~null_key(keys)), keys, schema, timestamp_col)
+    return folded.unionByName(rows.where(null_key(keys))) if null_keys == "keep" else folded
 
 
 # --- differences ---
@@ -160,7 +169,7 @@ def diff(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
     (text).  Rows without a change and rows with a null in the key are left out.
     """
     keys = as_list(key)
-    both, kinds = joined(last_of_each(a.dropna(subset=keys), keys), last_of_each(b.dropna(subset=keys), keys), keys)
+    both, kinds = joined(last_of_each(a, keys), last_of_each(b, keys), keys)
     text = lambda side, df, c: ordered(F.col(side)[c], kinds[c]).cast("string") if c in df.columns else F.lit(None).cast("string")
     cells = F.array(*(F.struct(F.lit(c).alias("field"), text("a", a, c).alias("old"), text("b", b, c).alias("new")) for c in kinds if c not in keys))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("modified")
@@ -173,7 +182,7 @@ def diff(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
 def diff_summary(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """One row: added, removed, modified and unchanged keys."""
     keys = as_list(key)
-    both, kinds = joined(last_of_each(a.dropna(subset=keys), keys), last_of_each(b.dropna(subset=keys), keys), keys)
+    both, kinds = joined(last_of_each(a, keys), last_of_each(b, keys), keys)
     common = [c for c in kinds if c not in keys and c in a.columns and c in b.columns]
     one_sided = [c for c in kinds if c not in keys and c not in common]
     same = reduce(lambda x, y: x & y, [ordered(F.col("a")[c], kinds[c]).eqNullSafe(ordered(F.col("b")[c], kinds[c])) for c in common], F.lit(True))
@@ -191,7 +200,7 @@ def provenance(a: DataFrame, b: DataFrame, key: str | Sequence[str], schema: Sch
     Columns: the key, origin of the row ('merged', 'unique_a', 'unique_b'), field,
     source ('a_only', 'b_only', 'both_equal', 'conflict_resolved'), strategy,
     winner ('a', 'b', 'both', or 'computed' if the value is neither's), value,
-    value_a, value_b (text).
+    value_a, value_b (text).  Rows with a null in the key are left out.
     """
     keys, rules = as_list(key), MergeSchema.of(schema)
     a, b = last_of_each(a, keys), last_of_each(b, keys)

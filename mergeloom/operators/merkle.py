@@ -41,21 +41,22 @@ def root(df: DataFrame, key: str | Sequence[str], branching: int = 16, depth: in
     return tree(df, key, branching, depth).where("level = 0").select("hash", "count")
 
 
-def diff(a: DataFrame, b: DataFrame, key: str | Sequence[str], branching: int = 16, depth: int = 6) -> DataFrame:
+def diff(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Keys (as text) that differ: change 'added', 'removed' or 'modified', of a against b.
 
-    Only the keys of buckets whose hashes differ are compared.
+    Leaves of both sides are dealt by key for their own aggregation, and the join
+    finds them so; ``differing_nodes`` is for sides that can't be joined.
     """
-    bucket = F.pmod(F.xxhash64("key"), F.lit(branching**depth)).alias("node")
-    x, y = leaves(a, key), leaves(b, key)
-    shape = lambda l: l.groupBy(bucket).agg(F.bit_xor(F.xxhash64("key", "hash")).alias("h"), F.count("*").alias("n"))
-    p, q = shape(x).alias("p"), shape(y).alias("q")
-    touched = p.join(q, F.col("p.node") == F.col("q.node"), "full_outer").where(~(F.col("p.h").eqNullSafe(F.col("q.h")) & F.col("p.n").eqNullSafe(F.col("q.n")))).select(F.coalesce("p.node", "q.node").alias("node"))
-    own = lambda l, name: l.withColumn("node", F.pmod(F.xxhash64("key"), F.lit(branching**depth))).join(touched, "node", "left_semi").select("key", F.col("hash").alias(name))
-    both = own(x, "old").join(own(y, "new"), "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    both = leaves(a, key).withColumnRenamed("hash", "old").join(leaves(b, key).withColumnRenamed("hash", "new"), "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     return both.select("key", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified").alias("change"))
 
 
+def differing_nodes(a: DataFrame, b: DataFrame, level: int) -> DataFrame:
+    """Nodes of a level in which two trees differ: the ranges of keys that remain to be compared."""
+    side = lambda t, name: t.where(F.col("level") == level).select("node", F.col("hash").alias(name))
+    return side(a, "x").join(side(b, "y"), "node", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("node")
+
+
 def same(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> bool:
     """Whether two tables hold the same keys and rows: two small aggregates, no join."""
     shape = lambda df: leaves(df, key).agg(F.bit_xor(F.xxhash64("key", "hash")).alias("h"), F.count("*").alias("n")).first()

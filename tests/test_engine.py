@@ -124,6 +124,8 @@ def test_merkle(spark, rows):
     assert rows(merkle.diff(a, b, "k")) == [("1", "removed"), ("3", "modified"), ("4", "added")]
     assert merkle.same(a, a.orderBy(F.desc("k")), "k") and not merkle.same(a, b, "k")
     assert merkle.root(a, "k").first() == merkle.root(a.repartition(3), "k").first() != merkle.root(b, "k").first()
+    trees = [merkle.tree(t, "k", 4, 3) for t in (a, b)]
+    assert [merkle.differing_nodes(*trees, n).count() for n in (0, 3)] == [1, 3] and merkle.differing_nodes(trees[0], trees[0], 3).count() == 0
     assert rows(merkle.merge(a, b, "k")) == rows(merkle.merge(b, a, "k"))
 
 
