@@ -113,6 +113,28 @@ coded AS (
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM coded)
+""",
+    "op6_quotation_linking": rf"""
+WITH messages AS (
+    SELECT *, row_number() OVER w - 1 AS position, lag(turn) OVER w AS before FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+),
+split AS (SELECT conv_id, turn, position, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS lines FROM messages),
+lines AS (SELECT conv_id, turn, position, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM split),
+parsed AS (
+    SELECT *, length(regexp_extract(line, '{quotes.PREFIX}', 1)) - length(replace(regexp_extract(line, '{quotes.PREFIX}', 1), '>', '')) AS level,
+        regexp_replace(line, '{quotes.PREFIX}', '') AS rest, trim(regexp_replace(lower(regexp_replace(line, '{quotes.PREFIX}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said
+    FROM lines
+),
+origin AS (SELECT conv_id, said, min(position) AS first FROM parsed WHERE level = 0 AND said <> '' GROUP BY ALL),
+found AS (
+    SELECT q.conv_id, q.position, count(*) AS n_quoted, count(o.first) AS n_linked, max(o.first) FILTER (q.level = 1) AS nearest
+    FROM parsed q LEFT JOIN origin o ON o.conv_id = q.conv_id AND o.said = q.said AND o.first < q.position WHERE q.level > 0 AND q.said <> '' GROUP BY ALL
+),
+bodies AS (SELECT conv_id, position, coalesce(string_agg(rest, chr(10) ORDER BY n) FILTER (level = 0), '') AS body FROM parsed GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, regexp_replace(body, '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') AS text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
+    coalesce(p.turn, m.before) AS parent_turn, nearest IS NOT NULL AS quoted_parent, m.position
+FROM messages m JOIN bodies USING (conv_id, position) LEFT JOIN found USING (conv_id, position) LEFT JOIN messages p ON p.conv_id = m.conv_id AND p.position = found.nearest
 """,
     "op8_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (
