@@ -386,10 +386,17 @@ def dedup_minhash(spark, sf_dir):
 # --- nested values ---
 
 
-@query("SELECT user_id, max(k) AS k, list_sort(list_distinct(flatten(list(tags ORDER BY event_id)))) AS tags FROM (SELECT user_id, event_id, CAST(props->>'$.k' AS BIGINT) AS k, [event_type] AS tags, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}) WHERE n <= 1 GROUP BY user_id")
+PROPS_A = "SELECT event_id, props, event_type AS tag, event_type AS other FROM {events} WHERE event_id % 5 <> 0"
+PROPS_B = "SELECT event_id, props, event_type AS tag, 'seen' AS other FROM {events} WHERE event_id % 5 <> 1"
+_K = "CAST({}.props->>'$.k' AS BIGINT)"
+
+
+@query(f"SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce({_K.format('b')} + 1, {_K.format('a')}) AS k, list_sort(list_distinct(list_filter([a.tag, a.other, b.tag, b.other], lambda x: x IS NOT NULL))) AS tags FROM ({PROPS_A}) a FULL JOIN ({PROPS_B}) b ON a.event_id = b.event_id")
 def json_merge_props(spark, sf_dir):
-    rows = spark_sql(spark, sf_dir, "SELECT user_id, event_id, from_json(props, 'k bigint').k AS k, array(event_type) AS tags, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}").where("n <= 1").drop("n", "event_id")
-    return jsonmerge.merge_lines(rows, rows, "user_id")
+    nested = lambda df, add: df.select("event_id", F.struct((F.from_json("props", "k bigint")["k"] + add).alias("k"), F.array("tag", "other").alias("tags")).alias("doc"))
+    a, b = sources(PROPS_A, PROPS_B)(spark, sf_dir)
+    merged = jsonmerge.merge_lines(nested(a, 0), nested(b, 1), "event_id")
+    return merged.select("event_id", "doc.k", F.array_sort(F.array_distinct("doc.tags")).alias("tags"))
 
 
 @query(pair("o_orderkey", {"o_orderstatus": "b.$", "o_orderpriority": "b.$", "o_custkey": "b.$"}, DA, DB))
@@ -459,7 +466,7 @@ def vector_clock_compare(spark, sf_dir):
     return both.select("user_id", state.clock_compare(F.col("a"), F.col("b")).alias("relation"), total.alias("merged"))
 
 
-_GOSSIP = "SELECT user_id AS key, event_type AS value, event_type = 'error' AS tombstone FROM {events} WHERE event_id % 10 = 0"
+_GOSSIP = "SELECT user_id AS key, event_type AS value, event_type = 'error' AS tombstone FROM {events}"
 
 
 @query(f"SELECT key, max(value) AS value FROM ({_GOSSIP}) GROUP BY key")
