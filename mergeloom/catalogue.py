@@ -693,6 +693,140 @@ def personal_data_scan(spark, sf_dir):
     return governance.personal_data(spark_sql(spark, sf_dir, "SELECT text FROM {documents}"), patterns={"email": _EMAIL})
 
 
+@query("SELECT o_orderkey, max(o_totalprice) AS o_totalprice FROM (SELECT o_orderkey, o_totalprice FROM ({a}) UNION ALL SELECT o_orderkey, o_totalprice FROM ({b})) GROUP BY o_orderkey".replace("{a}", A).replace("{b}", B))
+def max_register(spark, sf_dir):
+    a, b = sources(A, B)(spark, sf_dir)
+    return state.max_register(a.unionByName(b), "o_orderkey", "o_totalprice")
+
+
+EA, EB = (f"SELECT user_id AS key, cast(count(*) AS string) AS value FROM {{events}} WHERE event_id % 3 <> {i} GROUP BY user_id" for i in (0, 1))
+
+
+@query(f"SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'push' WHEN a.key IS NULL THEN 'pull' ELSE 'both' END AS direction FROM ({EA}) a FULL JOIN ({EB}) b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value")
+def anti_entropy(spark, sf_dir):
+    side = lambda df: state.gossip_digest(df.withColumn("clock", F.create_map(F.lit("n"), F.lit(1).cast("bigint"))).withColumn("tombstone", F.lit(False)))
+    return state.anti_entropy(*map(side, sources(EA, EB)(spark, sf_dir)))
+
+
+def _step(old: str, new: str, n: int) -> str:
+    same = " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in ("o_orderstatus", "o_orderpriority", "o_custkey"))
+    return f"SELECT coalesce(x.o_orderkey, y.o_orderkey) AS o_orderkey, {n} AS n, CASE WHEN x.o_orderkey IS NULL THEN 'added' WHEN y.o_orderkey IS NULL THEN 'removed' ELSE 'modified' END AS _op FROM ({old}) x FULL JOIN ({new}) y ON x.o_orderkey = y.o_orderkey WHERE x.o_orderkey IS NULL OR y.o_orderkey IS NULL OR NOT ({same})"
+
+
+@query(f"SELECT o_orderkey, 1 AS n, 'added' AS _op FROM ({DA}) UNION ALL {_step(DA, DB, 2)} UNION ALL {_step(DB, DC, 3)}")
+def version_history(spark, sf_dir):
+    states = [df.withColumn("n", F.lit(i)) for i, df in enumerate(sources(DA, DB, DC)(spark, sf_dir), 1)]
+    return delta.version_history(states[0].unionByName(states[1]).unionByName(states[2]), "o_orderkey", "n")
+
+
+@query(f"SELECT count(*) AS rows, count(DISTINCT key) AS keys FROM ({_ENTRIES}) WHERE peer IN (SELECT peer FROM ({_TRUST}) WHERE dimension = 'gossip' AND trust >= 0.4)")
+def trust_gate(spark, sf_dir):
+    kept = trust.trust_gate(spark_sql(spark, sf_dir, _ENTRIES), _trusts(spark, sf_dir), {"gossip": 0.4})
+    return kept.agg(F.count("*").alias("rows"), F.count_distinct("key").alias("keys"))
+
+
+@query(f"SELECT peer, dimension, round(CASE WHEN s > 0 THEN least(1, greatest(0, trust * n / s)) ELSE trust END, 9) AS trust FROM (SELECT *, sum(trust) OVER d AS s, count(*) OVER d AS n FROM ({_TRUST}) WINDOW d AS (PARTITION BY dimension))")
+def trust_normalise(spark, sf_dir):
+    return trust.normalise(_trusts(spark, sf_dir)).withColumn("trust", F.round("trust", 9))
+
+
+_SERIES = "SELECT user_id % 10 AS peer, event_id % 50 AS at, avg(value) AS value FROM {events} GROUP BY ALL"
+
+
+@query(f"SELECT x.peer AS a, y.peer AS b, round(corr(x.value, y.value), 6) AS corr, count(*) AS n FROM ({_SERIES}) x JOIN ({_SERIES}) y ON x.at = y.at AND x.peer < y.peer GROUP BY ALL")
+def trust_collusion(spark, sf_dir):
+    return trust.collusion(spark_sql(spark, sf_dir, _SERIES), "peer", "at", "value", -1.0).withColumn("corr", F.round("corr", 6))
+
+
+@query(f"SELECT key, count(*) FILTER (abs(value) <= 400) AS sized, count(*) FILTER (abs(value - m) <= s) AS near FROM (SELECT *, avg(value) OVER k AS m, stddev_pop(value) OVER k AS s FROM ({_ENTRIES}) WINDOW k AS (PARTITION BY key)) GROUP BY key")
+def trust_semantic_checks(spark, sf_dir):
+    checked = trust.semantic_checks(spark_sql(spark, sf_dir, _ENTRIES), "key", 400, 1.0)
+    return checked.groupBy("key").agg(F.count_if("magnitude_ok").alias("sized"), F.count_if("shift_ok").alias("near"))
+
+
+@query(f"SELECT key, n, round(max(greatest(abs(i / n - f), abs((i - 1) / n - f))), 6) AS distance FROM (SELECT key, count(*) OVER k AS n, row_number() OVER (PARTITION BY key ORDER BY value) AS i, 1 - exp(-value / avg(value) OVER k) AS f FROM ({_ENTRIES}) WINDOW k AS (PARTITION BY key)) GROUP BY ALL")
+def trust_waiting_times(spark, sf_dir):
+    return trust.exponential_distance(spark_sql(spark, sf_dir, _ENTRIES), "value", ["key"]).withColumn("distance", F.round("distance", 6))
+
+
+def _largest(keep: float) -> str:
+    return f"SELECT layer, pos, b, wt, CASE WHEN abs(t) >= cut THEN t ELSE 0 END AS t FROM ({_TAU}) JOIN (SELECT model_id, layer, quantile_cont(abs(t), {1 - keep}) AS cut FROM ({_TAU}) GROUP BY ALL) USING (model_id, layer)"
+
+
+def _least(df):
+    return df.groupBy("layer", "pos").agg(F.min("w").alias("w"))
+
+
+@query(f"SELECT layer, pos, round(first(b) + sum(wt * t), 6) + 0.0 AS w FROM ({_largest(0.25)}) GROUP BY ALL")
+def model_breadcrumbs(spark, sf_dir):
+    df = _models(spark, sf_dir)
+    return _rounded(model.breadcrumbs(df, _least(df), 0.75))
+
+
+@query(f"SELECT layer, pos, round(b + m * CASE WHEN active > 0 THEN least(n / active, 4) ELSE 1 END, 6) + 0.0 AS w FROM (SELECT *, count(*) OVER k AS n, count(*) FILTER (m <> 0) OVER k AS active FROM (SELECT layer, pos, first(b) AS b, sum(wt * t) AS m FROM ({_largest(0.25)}) GROUP BY ALL) WINDOW k AS (PARTITION BY layer))")
+def model_emr(spark, sf_dir):
+    df = _models(spark, sf_dir)
+    return _rounded(model.emr(df, _least(df), 0.25))
+
+
+@query(f"SELECT layer, pos, round(0.75 * min(w) + 0.25 * max(w), 6) + 0.0 AS w FROM ({_MODELS}) GROUP BY ALL")
+def model_linear(spark, sf_dir):
+    df = _models(spark, sf_dir)
+    return _rounded(model.linear(_least(df), df.groupBy("layer", "pos").agg(F.max("w").alias("w")), 0.25))
+
+
+@query(f"SELECT layer, pos, round(first(b) - 0.5 * avg(t), 6) + 0.0 AS w FROM ({_TAU}) GROUP BY ALL")
+def model_negative(spark, sf_dir):
+    df = _models(spark, sf_dir)
+    return _rounded(model.negative(df, _least(df), 0.5))
+
+
+@query(f"SELECT layer, pos, round(CASE WHEN abs(m - b) > cut THEN b ELSE m END, 6) + 0.0 AS w FROM (SELECT *, quantile_cont(abs(m - b), 0.9) OVER (PARTITION BY layer) AS cut FROM (SELECT layer, pos, avg(w) AS m, first(b) AS b FROM ({_TAU}) GROUP BY ALL))")
+def model_split_unlearn(spark, sf_dir):
+    df = _models(spark, sf_dir)
+    return _rounded(model.split_unlearn(df, _least(df)))
+
+
+@query(f"SELECT layer, pos, round(avg(w - 0.2 * (w - b)), 6) + 0.0 AS w FROM ({_TAU}) GROUP BY ALL")
+def model_fedprox(spark, sf_dir):
+    df = _models(spark, sf_dir)
+    return _rounded(model.fedprox(df.withColumn("n", F.lit(3)), _least(df), 0.2))
+
+
+_AGED = f"SELECT *, 0.5 ** (model_id % 4) AS wt FROM ({_MODELS})"
+
+
+@query(f"SELECT layer, pos, round(sum(wt * w) / (SELECT sum(wt) FROM (SELECT DISTINCT model_id, wt FROM ({_AGED}))), 6) + 0.0 AS w FROM ({_AGED}) GROUP BY ALL")
+def model_continual(spark, sf_dir):
+    return _rounded(model.continual(_models(spark, sf_dir).withColumn("age", F.col("model_id") % 4), "age", 0.5))
+
+
+SA, SB = (f"SELECT o_orderkey, o_orderstatus, ts FROM ({t})" for t in (A, B))
+
+
+@query(f"SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL OR b.ts > a.ts THEN b.o_orderstatus WHEN b.o_orderkey IS NULL OR a.ts > b.ts OR a.o_orderstatus = b.o_orderstatus THEN a.o_orderstatus ELSE 'tie' END AS o_orderstatus FROM ({SA}) a FULL JOIN ({SB}) b ON a.o_orderkey = b.o_orderkey")
+def merge_encrypted(spark, sf_dir):
+    key = F.lit("0123456789abcdef")
+    a, b = (governance.encrypt_columns(df, ["o_orderstatus"], key) for df in sources(SA, SB)(spark, sf_dir))
+    out = governance.decrypt_columns(governance.merge_encrypted(a, b, "o_orderkey", "ts", ["o_orderstatus"]), {"o_orderstatus": "string"}, key).drop("ts")
+    # At the same time ciphertexts have no order that means anything.
+    ties = a.select("o_orderkey", F.col("ts").alias("x"), F.col("o_orderstatus__tag").alias("p")).join(b.select("o_orderkey", F.col("ts").alias("y"), F.col("o_orderstatus__tag").alias("q")), "o_orderkey").where("x = y and p <> q").select("o_orderkey", F.lit(True).alias("tie"))
+    return out.join(ties, "o_orderkey", "left").select("o_orderkey", F.when(F.col("tie"), "tie").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+
+
+@query(f"SELECT bucket, count(*) AS facts FROM (SELECT DISTINCT ('0x' || substr(sha256(fact), 1, 8))::BIGINT % 64 AS bucket, fact FROM ({_MEMORY})) GROUP BY bucket")
+def context_blocks(spark, sf_dir):
+    """Blocks of merged memories; what SQL tells of them is how many facts each bucket has."""
+    packed = context.blocks(context.merge_sidecars(context.memories(spark_sql(spark, sf_dir, _MEMORY))), 1000)
+    bucket = F.pmod(F.conv(F.substring("fact_id", 1, 8), 16, 10).cast("long"), F.lit(64)).alias("bucket")
+    return packed.groupBy(bucket).agg(F.sum(F.lit(1)).alias("facts"))
+
+
+@query(f"SELECT o_orderpriority, round(sum(o_totalprice), 2) AS total FROM ({A}) GROUP BY o_orderpriority")
+def exact_sum(spark, sf_dir):
+    return sources(A)(spark, sf_dir)[0].groupBy("o_orderpriority").agg(F.round(trust.exact_sum(F.col("o_totalprice")), 2).alias("total"))
+
+
 # --- streams ---
 
 

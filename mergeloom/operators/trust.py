@@ -97,3 +97,17 @@ def trusted_prefix(stream: DataFrame, order: str, ok: Column, group: Sequence[st
     """Rows before the first that isn't ok, in order."""
     so_far = F.min(F.coalesce(ok, F.lit(False)).cast("int")).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return stream.withColumn("__ok", so_far).where("__ok = 1").drop("__ok")
+
+
+def exponential_distance(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """Kolmogorov-Smirnov distance of waiting times from the exponential distribution of their mean: (group, n, distance)."""
+    over = Window.partitionBy(*group)
+    rows = df.select(*group, F.col(value).cast("double").alias("x")).where("x is not null")
+    rows = rows.withColumn("n", F.count("*").over(over)).withColumn("m", F.avg("x").over(over)).withColumn("i", F.row_number().over(over.orderBy("x")))
+    model = 1 - F.exp(-F.col("x") / F.col("m"))
+    return rows.groupBy(*group).agg(F.max("n").alias("n"), F.max(F.greatest(F.abs(F.col("i") / F.col("n") - model), F.abs((F.col("i") - 1) / F.col("n") - model))).alias("distance"))
+
+
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that no order changes: of their values to nine decimals."""
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
