@@ -34,7 +34,7 @@ from .textbytes import blocks, hash_runs, mix, runs, weights
 #: Chance to which a pair at the similarity itself may be missed by the lists.
 MISS = 1e-9
 #: A block of a cluster holds about so many documents and shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
 
 
 @lru_cache(maxsize=64)
