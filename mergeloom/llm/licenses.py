@@ -2,8 +2,8 @@
 
 A document is a stream of lower-cased words.  Each rule is a regular expression
 over that stream with a label, a priority and keywords; only rules of which the
-stream holds a keyword are tried, and only texts with one of a few roots are made into
-a stream at all.  A detection that lies within another of the same or a higher
+stream holds a keyword are tried, and only texts with a root of some rule, a piece of
+a word that each of its matches holds, are made into a stream at all.  A detection that lies within another of the same or a higher
 priority is suppressed, so that of overlapping signatures the most telling one
 stays: an SPDX tag before a grant, a grant or an address before a bare name.
 
@@ -12,7 +12,7 @@ Everything is Spark's own functions.
 
 from __future__ import annotations
 
-from re import _constants, _parser
+from re import _constants, _parser, findall
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -118,12 +118,11 @@ OTHERS = (
     ("unknown-license", 0, r" licensed under(?= )"),
 )
 
-#: Only texts with one of these, in lower case, or with the word cc are looked at; each base phrase has one.
-ROOTS = ("licen", "spdx", "copyright", "rights reserved", "gpl", "public domain", "creativecommons", "permission is hereby", "redistribution and use", "proprietary")
-
 #: Trust in a detection of each priority, and in a base phrase.
 CONFIDENCE, BASE_CONFIDENCE = (0.3, 0.6, 0.9, 1.0), 0.9
 _GRANT = r"(?:released|distributed|available|published|provided|covered|redistributed|made available|dual licensed|governed)"
+#: What tells nothing of a rule, what most rules need, and the length from which a root is looked for within words too.
+COMMON, LICENSE, SHORT = {"under", "the", "by", "org", "com", "net", *findall("[a-z]+", _GRANT)}, "licen", 5
 
 
 def anchors(pattern: str) -> tuple[str, ...]:
@@ -167,6 +166,33 @@ def rules() -> list[Rule]:
     return out + [Rule(label, priority, anchors(pattern), pattern) for label, priority, pattern in OTHERS]
 
 
+def _forms(parts) -> set[str]:
+    """The literals of all ways to match, each with a null character where anything or nothing may stand (and a space after whole words)."""
+    out = {""}
+    for kind, value in parts:
+        if kind is _constants.LITERAL:
+            some = {chr(value)}
+        elif kind is _constants.SUBPATTERN:
+            some = _forms(value[-1])
+        elif kind is _constants.BRANCH:
+            some = {form for branch in value[1] for form in _forms(branch)}
+        else:
+            some = {"\0 " if kind is _constants.MAX_REPEAT and all(form.endswith(" ") for form in _forms(value[-1])) else "\0"}
+        out = {x + y for x in out for y in some}
+    return out
+
+
+def roots(table: list[Rule]) -> tuple[str, ...]:
+    """Pieces of words of which every text that a rule matches has one: of each way to match it, the longest word's beginning that isn't common."""
+    forms = {form for r in table for form in _forms(_parser.parse(r.pattern))}
+    found = {LICENSE if LICENSE in form else max((w for w in findall("(?<= )[^\0 ]+", form) if w not in COMMON), key=len) for form in forms}
+    return tuple(sorted(x for x in found if not any(y != x and (x.startswith(y) if len(y) < SHORT else y in x) for y in found)))
+
+
+#: Only texts with one of these, in lower case, are looked at; those shorter than SHORT must begin a word, as they do in all rules.
+ROOTS = roots(rules())
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -203,8 +229,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     low = F.lower(text)
     gate = F.lit(False)
     for root in ROOTS:
-        gate |= F.contains(low, F.lit(root))
-    gate |= low.rlike("(?<![0-9a-z])cc(?![0-9a-z])")
+        if len(root) >= SHORT:
+            gate |= F.contains(low, F.lit(root))
+    gate |= low.rlike(f"(?<![0-9a-z])(?:{'|'.join(x for x in ROOTS if len(x) < SHORT)})")
     stream = F.when(gate, F.regexp_replace(F.concat(F.lit(" "), F.translate(text, UPPER, LOWER), F.lit(" ")), GAP, " "))
     at = workspace(spark, "licenses")
     # Kept once, so that detections can be taken apart and meet their row again.

@@ -167,6 +167,24 @@ def test_licenses_against_all_pairs(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_no_rule_needs_another_rules_words(spark):
+    lines = [
+        "Distributed under the MPL 2.0.", "Released under Apache 2.0.", "Creative Commons Attribution-ShareAlike 4.0 International", "CC0 1.0 Universal", "mozilla.org/MPL/2.0", "eclipse.org/legal/epl-v10", "joinup.ec.europa.eu/collection/eupl",
+        "scripts.sil.org/OFL", "wtfpl.net", "mariadb.com/bsl11", "oracle.com/cddl-1.1", "Placed into the public domain", "proprietary and confidential", "EPL 2.0", "CC-BY-ND", "odc by", "example complete account accord", "caf\u00e9 mpl",
+    ]
+    table = licenses.rules()
+    # Every way to match any rule, with and without what may be left out.
+    for r in table:
+        lines += [form.replace("\0", "") for form in licenses._forms(licenses._parser.parse(r.pattern))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.labels != "" for r in licenses.scan(df).collect()}
+    compiled = [re.compile(r.pattern) for r in table]
+    for i, line in enumerate(lines):
+        stream = re.sub(licenses.GAP, " ", f" {line.lower()} ")
+        assert got[i] == any(p.search(stream) for p in compiled), line
+    assert all(got[i] for i in range(16)) and not got[16] and got[17]
+
+
 def test_rules_are_many_and_sound():
     table = licenses.rules()
     assert len(table) > 300
