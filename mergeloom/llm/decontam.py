@@ -1,9 +1,11 @@
 """Benchmark questions in documents, re-parameterised ones too.
 
 Texts become templates: numbers, units after a number and names (capitalised
-words within a sentence) turn into typed placeholders that keep their value, all
-other words are lower-cased.  Windows of the benchmark's templates are joined by
-hash with the windows of all documents.  Where an item stands in a document, the
+words) turn into typed placeholders that keep their value, all other words are
+lower-cased.  A capitalised word that begins a sentence, line or quotation may be a
+name or not, so windows have a form for either, and windows of the benchmark one for
+each of their names as such or as a plain word.  Windows of the benchmark's templates
+are joined by hash with the windows of all documents.  Where an item stands in a document, the
 values of the slots on both sides must correspond: one benchmark value, one
 document value.  A document whose slots all
 agree holds the question itself; where some differ, but as a mapping, it holds
@@ -37,8 +39,9 @@ def let(value: Column, use) -> Column:
 
 
 def template(text: Column) -> Column:
-    """The words of a text, array<string>: placeholders n, u and p carry the number, unit or name they stand for."""
+    """The words of a text, array<string>: placeholders n, u, p and q carry the number, unit, name or what may be a name that they stand for."""
     x = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}\p{L}*)", f"{MARK}p$1")
+    x = F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}]|{MARK}p)(\p{{Lu}}\p{{Ll}}\p{{L}}*)", f"{MARK}q$1")
     x = F.regexp_replace(x, r"(\d+(?:[.,:/]\d+)*)", f" {MARK}n$1 ")
     x = F.regexp_replace(x, rf"({MARK}n[\d.,:/]+) +(?i:({'|'.join(UNITS)}))(?![\p{{L}}\p{{N}}])", f"$1 {MARK}u$2")
     x = F.regexp_replace(F.lower(x), rf"(?:[^\p{{L}}\p{{N}}{MARK}.,:/]|(?<!\d)[.,:/]|[.,:/](?!\d))+", " ")
@@ -50,12 +53,47 @@ def canonical(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
 
 
+def _named(w: Column) -> Column:
+    """A placeholder q as a name."""
+    return F.when(w.startswith(f"{MARK}q"), F.concat(F.lit(f"{MARK}p"), F.substring(w, 3, 1 << 20))).otherwise(w)
+
+
+def _plain(w: Column) -> Column:
+    """A placeholder q as a word."""
+    return F.when(w.startswith(f"{MARK}q"), F.substring(w, 3, 1 << 20)).otherwise(w)
+
+
 def windows(words: Column, size: int | Column) -> Column:
-    """array<struct<hash, slots>> of all runs of ``size`` words: hash of the canonical words, and the placeholders; null for fewer words."""
-    each = lambda s, i: F.struct(F.xxhash64(F.slice(s["plain"], i, size)).alias("hash"), F.when(s["marked"], F.filter(F.slice(s["words"], i, size), lambda w: w.startswith(MARK))).alias("slots"))
-    last = lambda s: F.size(s["plain"]) - size + 1
-    parts = F.struct(words.alias("words"), canonical(words).alias("plain"), F.exists(words, lambda w: w.startswith(MARK)).alias("marked"))
-    return let(parts, lambda s: F.when(last(s) >= 1, F.transform(F.sequence(F.lit(1), last(s)), lambda i: each(s, i))))
+    """array<struct<at, hash, run>> of all runs of ``size`` words from 0: hash of the canonical words, and the words; null for fewer words.
+
+    A run has one form for each choice of its q as names or words.
+    """
+    form = lambda i, plain, run: F.struct((i - 1).alias("at"), F.xxhash64(plain).alias("hash"), run.alias("run"))
+    uniform = lambda s, i, of: form(i, F.slice(s[f"{of}_plain"], i, size), F.slice(s[of], i, size))
+    grown = lambda acc, w: F.transform(acc, lambda a: F.concat(a, F.array(w)))
+    step = lambda acc, w: F.when(w.startswith(f"{MARK}q"), F.concat(grown(acc, _named(w)), grown(acc, _plain(w)))).otherwise(grown(acc, w))
+    mixed = lambda s, i: F.transform(F.aggregate(F.slice(s["words"], i, size), F.array(F.array().cast("array<string>")), step), lambda r: form(i, canonical(r), r))
+    # Starts of the runs that hold both places.
+    around = lambda s, low, high: let(F.struct(F.greatest(F.lit(1), high - size + 1).alias("a"), F.least(low, s["last"]).alias("b")), lambda r: F.when(r["a"] <= r["b"], F.sequence(r["a"], r["b"])).otherwise(F.array().cast("array<int>")))
+
+    def forms(s):
+        named = F.transform(F.sequence(F.lit(1), s["last"]), lambda i: uniform(s, i, "named"))
+        with_one = F.array_distinct(F.flatten(F.transform(s["open"], lambda p: around(s, p, p))))
+        with_two = F.array_distinct(F.flatten(F.transform(s["open"], lambda p, j: F.when(j > 0, around(s, F.get(s["open"], j - 1), p)).otherwise(F.array().cast("array<int>")))))
+        return F.when(F.size(s["open"]) == 0, named).otherwise(F.concat(named, F.transform(with_one, lambda i: uniform(s, i, "worded")), F.flatten(F.transform(with_two, lambda i: mixed(s, i)))))
+
+    read = F.struct(words.alias("words"), F.transform(words, _named).alias("named"), F.transform(words, _plain).alias("worded"))
+    places = lambda w: F.filter(F.transform(w, lambda x, i: F.when(x.startswith(f"{MARK}q"), i + 1)), lambda i: i.isNotNull())
+    parts = lambda f: F.struct(
+        f["words"].alias("words"), f["named"].alias("named"), f["worded"].alias("worded"), canonical(f["named"]).alias("named_plain"), canonical(f["worded"]).alias("worded_plain"),
+        places(f["words"]).alias("open"), (F.size(f["words"]) - size + 1).alias("last"),
+    )
+    return let(read, lambda f: let(parts(f), lambda s: F.when(s["last"] >= 1, forms(s))))
+
+
+def slots(run: Column) -> Column:
+    """The placeholders of a run."""
+    return F.filter(run, lambda w: w.startswith(MARK))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -77,10 +115,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     at = workspace(spark, "decontam")
     items = benchmark.select(F.col(item_id).alias("item"), template(F.col(item_text)).alias("words")).where(F.col("item").isNotNull() & (F.size("words") > 0))
     items = materialize(items.withColumn("size", F.least(F.lit(window), F.size("words"))), f"{at}/items")
-    # Where a document's case or sentence hides that a word is a name, it stands there as a plain word: items have windows of both forms.
-    unnamed = items.withColumn("words", F.transform("words", lambda w: F.when(w.startswith(f"{MARK}p"), F.substring(w, 3, 1 << 20)).otherwise(w)))
-    parts = items.unionByName(unnamed).select("item", "size", F.posexplode(windows(F.col("words"), F.col("size"))).alias("item_at", "w"))
-    parts = parts.select("item", "size", "item_at", "w.hash", F.col("w.slots").alias("item_slots")).dropDuplicates(["item", "size", "item_at", "hash"])
+    # Where a document's case hides that a word is a name, it stands there as a plain word: each name of an item may be one.
+    maybe = F.transform("words", lambda w: F.when(w.startswith(f"{MARK}p"), F.concat(F.lit(f"{MARK}q"), F.substring(w, 3, 1 << 20))).otherwise(w))
+    parts = items.select("item", "size", F.explode(windows(maybe, F.col("size"))).alias("w"))
+    parts = parts.select("item", "size", F.col("w.at").alias("item_at"), "w.hash", slots(F.col("w.run")).alias("item_slots")).dropDuplicates(["item", "size", "item_at", "hash"])
     parts = materialize(parts, f"{at}/windows")
     total = parts.groupBy("item").agg(F.count_distinct("item_at").alias("of"))
     sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # at most ``window``
@@ -88,8 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     texts = docs.select(F.col(id_col).alias("doc"), template(F.col(text_col)).alias("words")).where(F.col("doc").isNotNull())
     per_size = let(F.col("words"), lambda w: F.array(*(F.struct(F.lit(s).alias("size"), windows(w, s).alias("windows")) for s in sizes or [window])))
-    placed = texts.select("doc", F.explode(per_size).alias("w")).select("doc", "w.size", F.posexplode("w.windows").alias("at", "w")).select("doc", "size", "at", "w.hash", "w.slots")
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc")), lambda p: p["item"].isNotNull() & p["doc"].isNotNull())
+    placed = texts.select("doc", F.explode(per_size).alias("w")).select("doc", "w.size", F.explode("w.windows").alias("w")).select("doc", "size", "w.at", "w.hash", "w.run")
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), slots(F.col("run")).alias("doc")), lambda p: p["item"].isNotNull() & p["doc"].isNotNull())
     met = placed.join(side, ["hash", "size"]).select("doc", "item", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), F.coalesce(pairs, F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))
     # An item's windows bound what is collected for a place where it stands.
     place = met.groupBy("doc", "item", "offset").agg(F.collect_set("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

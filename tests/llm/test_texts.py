@@ -123,6 +123,21 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in decontam.contaminated(df, bench).collect()] == [1]
 
 
+def test_names_that_begin_sentences(spark, rows):
+    item = "John has 5 apples. Mary gives John 3 more. How many apples does John have?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("John", "Peter").replace("Mary", "Susan").replace("5", "7").replace("3", "4")
+    docs = [
+        (1, other), (2, f"He said:\n\"{other}\" (so)"), (3, item), (4, item.lower()), (5, "we know that " + item.replace(". ", ", ").replace("How", "how").replace("John has", "john has")),
+        (6, other.replace("Peter 4", "Paul 4").replace("does Peter", "does Ann")), (7, "Peter has 7 pears. Susan takes 4. How many are left?"), (8, item.upper()),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(decontam.contaminated(df, bench), "doc_id", "kind", "share")
+    assert [g[0] for g in got] == [1, 2, 3, 4, 5, 8]
+    assert [g[1] for g in got] == ["re-parameterised"] * 2 + ["exact"] * 4
+    assert all(g[2] == 1 for g in got)
+
+
 @tables
 def test_literal_benchmark_passages_and_no_others(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
