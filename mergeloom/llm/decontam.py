@@ -6,7 +6,7 @@ lower-cased.  A capitalised word that begins a sentence, line or quotation may b
 name or not, so windows have a form for either, and windows of the benchmark one for
 each of their names as such or as a plain word.  Windows of the benchmark's templates
 are joined by hash with the windows of all documents.  Where an item stands in a document, the
-values of the slots on both sides must correspond: one benchmark value, one
+values of the slots of windows that differ must correspond: one benchmark value, one
 document value.  A document whose slots all
 agree holds the question itself; where some differ, but as a mapping, it holds
 the question with other parameters.
@@ -103,7 +103,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window), those that the document has in some place, ``least_share`` or more.
     n_slots, n_changed: distinct pairs of placeholders in the place with most
     windows, and those with another value.  kind: 'exact', or 're-parameterised'
-    if values differ.  Places where one value of the item meets several don't count.
+    if values differ.  Windows whose values differ don't count in places where one
+    value of the item meets several in such windows; windows with equal values do.
 
     Null and empty texts, documents shorter than a window and items without words
     hold nothing and are held by nothing.  Rows that repeat a document's or an
@@ -129,12 +130,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     placed = texts.select("doc", F.explode(per_size).alias("w")).select("doc", "w.size", F.explode("w.windows").alias("w")).select("doc", "size", "w.at", "w.hash", "w.run")
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("item"), slots(F.col("run")).alias("doc")), lambda p: p["item"].isNotNull() & p["doc"].isNotNull())
     met = placed.join(side, ["hash", "size"]).select("doc", "item", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), F.coalesce(pairs, F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))
+    # What stands word for word counts in any case; only values that differ must be a mapping, over the windows they are in.
+    met = met.withColumn("differs", F.exists("pairs", lambda p: p["item"] != p["doc"]))
     # An item's windows bound what is collected for a place where it stands.
-    place = met.groupBy("doc", "item", "offset").agg(F.collect_set("item_at").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    mapped = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))) == F.size("pairs")
+    distinct = lambda pairs: F.array_distinct(F.flatten(F.collect_set(pairs)))
+    place = met.groupBy("doc", "item", "offset").agg(F.collect_set("item_at").alias("all"), F.collect_set(F.when(~F.col("differs"), F.col("item_at"))).alias("literal"), distinct(F.col("pairs")).alias("pairs"), distinct(F.when(F.col("differs"), F.col("pairs"))).alias("other"))
+    mapped = F.size(F.array_distinct(F.transform("other", lambda p: p["item"]))) == F.size("other")
+    place = place.withColumn("windows", F.when(mapped, F.col("all")).otherwise(F.col("literal"))).where(F.size("windows") > 0)
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     best = F.max_by(F.struct(F.size("pairs").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")), F.struct(F.size("windows"), -F.col("offset")))
-    held = place.where(mapped).groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n"), best.alias("best")).join(total, "item").where(F.col("n") >= least_share * F.col("of"))
+    held = place.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n"), best.alias("best")).join(total, "item").where(F.col("n") >= least_share * F.col("of"))
     return held.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), (F.col("n") / F.col("of")).alias("share"), "best.n_slots", "best.n_changed",
         F.when(F.col("best.n_changed") > 0, "re-parameterised").otherwise("exact").alias("kind"),

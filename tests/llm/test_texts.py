@@ -138,6 +138,15 @@ def test_names_that_begin_sentences(spark, rows):
     assert all(g[2] == 1 for g in got)
 
 
+def test_one_edited_number_leaves_the_literal_windows(spark, rows):
+    item = "put 5 red balls and 5 blue balls into a box that the two girls have carried up the hill and then down to the old mill by the river where 5 boys wait for them"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, item.replace("put 5", "put 6")), (2, item), (3, "put 1 red balls and 2 blue balls into a box")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows(decontam.contaminated(df, bench), "doc_id", "n_changed")
+    assert got == [(1, 1), (2, 0)]
+
+
 @tables
 def test_literal_benchmark_passages_and_no_others(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
