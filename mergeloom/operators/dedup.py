@@ -108,23 +108,26 @@ def fuzzy(df: DataFrame, text: str, order: str, threshold: float = 0.85) -> Data
     return out.withColumn("kept", F.col(order) == F.col("first"))
 
 
-def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """Pairs (a, b) with the smallest id of their component; labels spread and jump until they rest."""
-    edges = pairs.select("a", "b").checkpoint() if pairs.sparkSession.sparkContext.getCheckpointDir() else pairs.select("a", "b").persist()
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l"))
-    keep = (lambda d: d.checkpoint()) if pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    label = keep(label)
-    for _ in range(rounds):
-        spread = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
-        step = label.join(spread, "a").select("a", F.least("l", "m").alias("l"))
-        jump = step.alias("s").join(step.select(F.col("a").alias("p"), F.col("l").alias("q")), F.col("s.l") == F.col("p"), "left").select("a", F.least("l", F.coalesce("q", "l")).alias("l"))
-        new = keep(jump)
-        if new.join(label.withColumnRenamed("l", "old"), "a").where("l <> old").isEmpty():
-            label = new
+def components(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the smallest id of their component.
+
+    Large-star and small-star steps (Kiveris et al., SoCC 2014) alternate until only
+    stars are left, which takes a logarithmic number of rounds.
+    """
+    keep = (lambda d: d.checkpoint()) if pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
+    edges = keep(pairs.select("a", "b"))
+    stars = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while True:
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        parent = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(parent, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        stars = keep(small.union(parent.select("u", F.col("m").alias("v"))).distinct())
+        if stars.groupBy("u").count().where("count > 1").isEmpty() and stars.join(stars.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        label = new
-    return edges.join(label.withColumnRenamed("l", "component"), "a")
+    # A component's smallest id is the parent of all others, and its own.
+    return edges.join(stars.select(F.col("u").alias("a"), F.col("v").alias("component")), "a", "left").select("a", "b", F.coalesce("component", "a").alias("component"))
 
 
 def fuzzy_rows(df: DataFrame, key: str | Sequence[str], threshold: float = 0.85) -> DataFrame:

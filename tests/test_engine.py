@@ -84,6 +84,15 @@ def test_minhash_is_the_same_everywhere(spark):
     assert got[0] == got[1] == [True, False, True]
 
 
+def test_components_of_a_long_chain(spark, rows):
+    # Ids fall from the middle to both ends, so that the smallest has to pass a second minimum.
+    order = [*range(0, 602, 2), *reversed(range(1, 600, 2))]
+    links = [(min(x, y), max(x, y)) for x, y in itertools.pairwise(order)] + [(1000, 1001)]
+    got = rows(dedup.components(spark.createDataFrame(links, "a long, b long")))
+    assert got == sorted(((a, b, 1000 if a >= 1000 else 0) for a, b in links), key=repr)
+    assert dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_exact_dedup(spark, rows):
     df = spark.createDataFrame([(0, "A b"), (1, "a B"), (2, "a  b"), (3, None), (4, None), (5, "")], "id long, t string")
     assert rows(dedup.exact(df, "t", "id").where("kept"), "id") == [(0,), (2,), (3,), (5,)]
