@@ -147,6 +147,68 @@ def test_one_edited_number_leaves_the_literal_windows(spark, rows):
     assert got == [(1, 1), (2, 0)]
 
 
+def test_slots_correspond_both_ways(spark, rows):
+    item = "take 5 red balls and 7 blue balls that Alice put on the table next to the ones from Bob and count them all"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    swap = lambda *new: (lambda it: re.sub(r"5|7|Alice|Bob", lambda m: next(it), item))(iter(new))
+    df = spark.createDataFrame([(1, swap("3", "3", "Carol", "Carol")), (2, swap("3", "4", "Carol", "Dan")), (3, swap("7", "5", "Bob", "Alice"))], "doc_id long, text string")
+    assert rows(decontam.contaminated(df, bench), "doc_id", "n_slots", "n_changed") == [(2, 4, 4), (3, 4, 4)]
+
+
+QUESTIONS = [
+    "If {A} has {1} apples and gives {2} of them to {B}, how many apples does {A} have left at the end of the day?",
+    "{A} drives {1} km from home to the office and then {2} km to the gym. How far does {A} drive in a week of five days?",
+    "A train leaves the station at {1} o'clock and travels at a speed of {2} km per hour. When will {A} reach the town that is {3} km away?",
+    "{A} and {B} share a box of {1} cookies. {B} eats {2} cookies more than {A}. How many cookies does each of them eat?",
+    "The recipe needs {1} grams of flour for {2} pancakes. How much flour does {A} need when {B} and {C} come and they want {3} pancakes?",
+    "Last summer {A} read {1} pages a day for {2} days. How many pages are in the book that {A} borrowed from {B}?",
+    "There are {1} students in the class. The teacher, {A}, puts them into groups of {2}. How many groups are there and who is left over?",
+    "{A} earns {1} dollars an hour and works {2} hours a week, while {B} earns {3} dollars an hour. Who earns more in a month?",
+    "Wenn {A} {1} Äpfel hat und {B} davon {2} Stück gibt, wie viele Äpfel hat {A} dann noch am Ende des Tages übrig?",
+    "{A} fährt {1} km von zu Hause bis zur Arbeit und danach {2} km zum Sport. Wie weit fährt {A} in einer Woche?",
+    "Ein Zug fährt um {1} Uhr ab und ist mit {2} km in der Stunde unterwegs. Wann kommt {A} in der Stadt an, die {3} km entfernt ist?",
+    "In der Klasse sind {1} Kinder. Die Lehrerin heißt {A} und teilt alle in Gruppen zu je {2} Kindern ein. Wie viele Gruppen gibt es?",
+]
+PEOPLE = "Alice Bob Carol Dan Erin Frank Grace Heidi Ivan Judy Mallory Niaj Olivia Peggy Rupert Sybil Trent Victor Walter Yusuf Will Rose Mark Jürgen Zoë".split()
+
+
+def test_recall_of_other_parameters(spark):
+    """Each question with other names and numbers, in several spellings, within other text; and no question in text of the same words."""
+    rng = random.Random(5)
+
+    def filled(template, people):
+        numbers = rng.sample(range(2, 900), 3)
+        return re.sub(r"\{(\w)\}", lambda m: people["ABC".index(m[1])] if m[1] in "ABC" else str(numbers[int(m[1]) - 1]), template)
+
+    bench = spark.createDataFrame([(i, filled(q, ["Alice", "Bob", "Carol"])) for i, q in enumerate(QUESTIONS)], "item_id long, text string")
+    spoken = [w for q in QUESTIONS for w in re.sub(r"\{\w\}", "", q).split()]
+    filler = lambda: " ".join(rng.choices(spoken, k=rng.randint(0, 60)))
+    forms = {"as it is": str, "capitals": str.upper, "small": str.lower, "wrapped": lambda x: re.sub(r" (?=\S+ \S+ \S+$)", "\n", x), "quoted": lambda x: f'He asked: "{x}" So'}
+    docs, want = [], []
+    for form in forms.values():
+        for i, q in enumerate(QUESTIONS):
+            for _ in range(5):
+                want.append((len(docs), i))
+                docs.append((len(docs), f"{filler()}. {form(filled(q, rng.sample(PEOPLE[1:], 3)))} {filler()}"))
+    clean = [(len(docs) + k, " ".join(rng.choices(spoken + PEOPLE, k=400))) for k in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs + clean, "doc_id long, text string"), bench).collect()}
+    per = len(want) // len(forms)
+    recall = {name: sum(w in got for w in want[k * per : (k + 1) * per]) / per for k, name in enumerate(forms)}
+    assert min(recall.values()) >= 0.9, recall
+    assert got <= set(want)
+
+
+def test_parts_of_a_benchmark(spark, rows, monkeypatch):
+    bench = spark.createDataFrame([(i, re.sub(r"\{(\w)\}", "Alice", q)) for i, q in enumerate(QUESTIONS)], "item_id long, text string")
+    docs = bench.selectExpr("item_id AS doc_id", "text")
+    whole = rows(decontam.contaminated(docs, bench))
+    monkeypatch.setattr(decontam, "PART_WINDOWS", 60)
+    assert rows(decontam.contaminated(docs, bench)) == whole and len(whole) == len(QUESTIONS)
+    monkeypatch.setattr(decontam, "VOCABULARY", 10)
+    with pytest.raises(ValueError, match="plain words"):
+        decontam.contaminated(docs, bench)
+
+
 @tables
 def test_literal_benchmark_passages_and_no_others(spark):
     docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
