@@ -98,13 +98,14 @@ def _hash(symbols: str, size: int, at: str = "0") -> str:
 
 def _hits(size: int, firsts: list[int], hashes: list[int]) -> str:
     """Over a template: array<struct<size, at, hash, stands>> of the runs of ``size`` words, in either form, whose hash is one of these; ``firsts`` are those of their first symbols."""
-    hit = lambda starts: f"transform(filter({starts}, i -> {_hash('f', min(size, FIRST), 'i')} IN {_list(firsts)} AND {_hash('f', size, 'i')} IN {_list(hashes)}), i -> named_struct('size', {size}, 'at', i, 'hash', {_hash('f', size, 'i')}, 'stands', slice(low, i + 1, {size})))"
-    settled = lambda of, use: _let("f", f"transform({of}, (s, i) -> {_settled(of, 'i')})", use)
-    none = "cast(array() AS array<struct<size: int, at: int, hash: bigint, stands: array<string>>>)"
+    hit = f"transform(filter(x.starts, i -> {_hash('f', min(size, FIRST), 'i')} IN {_list(firsts)} AND {_hash('f', size, 'i')} IN {_list(hashes)}), i -> named_struct('size', {size}, 'at', i, 'hash', {_hash('f', size, 'i')}, 'stands', slice(low, i + 1, {size})))"
+    form = lambda of, starts: f"named_struct('f', transform({of}, (s, i) -> {_settled(of, 'i')}), 'starts', {starts})"
     # Runs that hold or touch a word that is a name in the second form only.
     touched = f"array_distinct(flatten(transform(filter(sequence(0, size(low) - 1), i -> get(named, i) != get(plain, i)), i -> sequence(greatest(0, i - {size}), least(size(low) - {size}, i + 1)))))"
-    second = _let("named", _named("w < '!'"), settled("named", hit(touched)))
-    return f"IF(size(low) >= {size}, concat({settled('plain', hit(f'sequence(0, size(low) - {size})'))}, IF(exists(words, w -> w < '!'), {second}, {none})), {none})"
+    second = _let("named", _named("w < '!'"), f"array({form('named', touched)})")
+    forms = f"concat(array({form('plain', f'sequence(0, size(low) - {size})')}), IF(exists(words, w -> w < '!'), {second}, array()))"
+    none = "cast(array() AS array<struct<size: int, at: int, hash: bigint, stands: array<string>>>)"
+    return f"IF(size(low) >= {size}, flatten(transform({forms}, x -> {_let('f', 'x.f', hit)})), {none})"
 
 
 def item_windows(items: DataFrame) -> DataFrame:

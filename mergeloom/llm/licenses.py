@@ -1,196 +1,132 @@
 """License notices by ordered signature rules.
 
 A document is a stream of lower-cased words.  Each rule is a regular expression
-over that stream with a label, a priority and keywords; only rules of which the
-stream holds a keyword are tried, and only texts with a root of some rule, a piece of
-a word that each of its matches holds, are made into a stream at all.  A detection that lies within another of the same or a higher
-priority is suppressed, so that of overlapping signatures the most telling one
-stays: an SPDX tag before a grant, a grant or an address before a bare name.
+over that stream with a label, a priority and keywords: phrases of which every match
+holds one.  Only texts with the most telling word of some keyword are made into a
+stream, and of those only rules with that word and a keyword in the stream are tried.  A detection that
+lies within another of the same or a higher priority is suppressed, so that of
+overlapping signatures the most telling one stays: an SPDX tag before a grant, a
+sentence of a license or an address, and those before a bare name.
 
 Everything is Spark's own functions.
 """
 
 from __future__ import annotations
 
-from re import _constants, _parser, findall
+import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, ship, workspace
+from .signatures import FAMILIES, NOTICES, TEXTS
 
-#: What words are made of is everything but these; lower case and as given.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words: runs of ASCII digits and letters and of all that isn't ASCII.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed phrases and labels, found at every place and never suppressed.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Trust in a detection of each priority, and in a base phrase.
+CONFIDENCE, BASE_CONFIDENCE = (0.3, 0.6, 0.9, 1.0), 0.9
+_GRANT = r"(?:released|distributed|available|published|provided|covered|redistributed|made available|dual licensed|governed)"
+#: The most telling words, and those that tell least: a keyword's word is of the first kind, or else the longest that isn't of the second.
+TELLING = ("license", "licence", "licensed", "licenced")
+COMMON = set((
+    "under the by org com net released distributed available published provided covered redistributed made governed software without document program information see good just only file public general conditions provide personal "
+    "private research additional associated authors built commercial contains consent developed distribute distribution documentation evaluation foundation functionality includes independent installing itself obtain "
+    "placed portions products prominent protection publication reference shall specifically substantial understood whatever zero advertising agreement academic broadcast collection historical united states "
+    "material works network version library object source dedicated additional licenses use page image code person purpose group project text work free terms part parties used product supplied parties package copy organization grant granted derived "
+    "this to of in for with what you into and or not be may is are as it that any all has have from on at an a if do s was which its by used no non same site based book called intent freely managed u"
+).split())
 
 
 class Rule(NamedTuple):
     label: str
     priority: int
     keywords: tuple[str, ...]
+    words: tuple[str, ...]
     pattern: str
 
 
-#: Families: label, name as a pattern over words, identifier in words, address in words.
-FAMILIES = (
-    ("mit", r"(?:mit|expat)", "mit", "opensource org licenses mit"),
-    ("mit-0", r"mit no attribution", "mit 0", "opensource org licenses mit 0"),
-    ("apache-2.0", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache 2 0", "apache org licenses license 2 0"),
-    ("apache-1.1", r"apache software(?: license)?(?: version)? 1 1", "apache 1 1", "apache org licenses license 1 1"),
-    ("apache-1.0", r"apache software(?: license)?(?: version)? 1 0", "apache 1 0", "apache org licenses license 1 0"),
-    ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
-    ("bsd-3-clause", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
-    ("bsd-4-clause", r"(?:original bsd|bsd 4 clause|4 clause bsd|old bsd)", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
-    ("0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)", "0bsd", "opensource org licenses 0bsd"),
-    ("gpl-1.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?", "gpl 1 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 1 0"),
-    ("gpl-2.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?", "gpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?gpl 2 0"),
-    ("gpl-3.0", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?", "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
-    ("gpl", r"(?:gnu )?(?:general public license|gpl)", "gpl", "gnu org licenses gpl"),
-    ("lgpl-2.0", r"(?:gnu )?(?:library general public license|lgpl)(?: version| v)? ?2(?: 0)?", "lgpl 2 0(?: only| or later)?", "gnu org licenses (?:old licenses )?lgpl 2 0"),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", "lgpl 2 1(?: only| or later)?", "gnu org licenses (?:old licenses )?lgpl 2 1"),
-    ("lgpl-3.0", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", "lgpl 3 0(?: only| or later)?", "gnu org licenses lgpl 3 0"),
-    ("lgpl", r"(?:gnu )?(?:(?:lesser|library) general public license|lgpl)", "lgpl", "gnu org licenses lgpl"),
-    ("agpl-3.0", r"(?:gnu )?(?:affero general public license|agpl)(?: version| v)? ?3(?: 0)?", "agpl 3 0(?: only| or later)?", "gnu org licenses agpl 3 0"),
-    ("agpl", r"(?:gnu )?(?:affero general public license|agpl)", "agpl", "gnu org licenses agpl"),
-    ("gfdl-1.3", r"(?:gnu )?free documentation license(?: version| v)? ?1 3", "gfdl 1 3(?: only| or later)?", "gnu org licenses fdl 1 3"),
-    ("gfdl", r"(?:gnu )?(?:free documentation license|gfdl)", "gfdl", "gnu org (?:copyleft|licenses) fdl"),
-    ("mpl-1.1", r"(?:mozilla public license|mpl)(?: version| v)? ?1 1", "mpl 1 1", "mozilla org mpl 1 1"),
-    ("mpl-2.0", r"(?:mozilla public license|mpl)(?: version| v)? ?2(?: 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
-    ("mpl", r"(?:mozilla public license|mpl)", "mpl", "mozilla org mpl"),
-    ("epl-1.0", r"(?:eclipse public license|epl)(?: version| v)? ?1(?: 0)?", "epl 1 0", "eclipse org legal epl v10"),
-    ("epl-2.0", r"(?:eclipse public license|epl)(?: version| v)? ?2(?: 0)?", "epl 2 0", "eclipse org legal epl (?:2 0|v20)"),
-    ("cddl-1.0", r"(?:common development and distribution license|cddl)(?: version| v)?(?: 1 0)?", "cddl 1 0", "opensource org licenses cddl 1 0"),
-    ("cddl-1.1", r"(?:common development and distribution license|cddl)(?: version| v)? ?1 1", "cddl 1 1", "oracle com cddl 1 1"),
-    ("cpl-1.0", r"common public license(?: version| v)? ?1 0", "cpl 1 0", "opensource org licenses cpl1 0"),
-    ("isc", r"(?:isc|internet systems consortium)", "isc", "opensource org licenses isc"),
-    ("zlib", r"(?:zlib|zlib libpng)", "zlib", "opensource org licenses zlib"),
-    ("bsl-1.0", r"boost software license(?: version| v)?(?: 1 0)?", "bsl 1 0", "boost org license 1 0"),
-    ("busl-1.1", r"business source license(?: version| v)?(?: 1 1)?", "busl 1 1", "mariadb com bsl11"),
-    ("unlicense", r"(?:the )?unlicense", "unlicense", "unlicense org"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl", "wtfpl net"),
-    ("artistic-1.0", r"(?:perl )?artistic license(?: version| v)? ?1(?: 0)?", "artistic 1 0", "opensource org licenses artistic 1 0"),
-    ("artistic-2.0", r"artistic license(?: version| v)? ?2(?: 0)?", "artistic 2 0", "opensource org licenses artistic 2 0"),
-    ("psf-2.0", r"python software foundation license(?: version| v)?(?: 2)?", "(?:psf|python) 2 0", "python org psf license"),
-    ("php-3.01", r"php license(?: version| v)? 3 01", "php 3 01", "php net license 3 01"),
-    ("ruby", r"ruby", "ruby", "ruby lang org en about license"),
-    ("openssl", r"openssl", "openssl", "openssl org source license"),
-    ("ofl-1.1", r"(?:sil )?open font license(?: version| v)?(?: 1 1)?", "ofl 1 1", "scripts sil org ofl"),
-    ("eupl-1.2", r"(?:european union public licen[cs]e|eupl)(?: version| v)?(?: 1 2)?", "eupl 1 2", "joinup ec europa eu collection eupl"),
-    ("ms-pl", r"microsoft public license", "ms pl", "opensource org licenses ms pl"),
-    ("ms-rl", r"microsoft reciprocal license", "ms rl", "opensource org licenses ms rl"),
-    ("osl-3.0", r"open software license(?: version| v)?(?: 3 0)?", "osl 3 0", "opensource org licenses osl 3 0"),
-    ("afl-3.0", r"academic free license(?: version| v)?(?: 3 0)?", "afl 3 0", "opensource org licenses afl 3 0"),
-    ("odbl-1.0", r"(?:open database license|odbl)(?: version| v)?(?: 1 0)?", "odbl 1 0", "opendatacommons org licenses odbl"),
-    ("odc-by-1.0", r"(?:open data commons attribution license|odc by)(?: version| v)?(?: 1 0)?", "odc by 1 0", "opendatacommons org licenses by"),
-    ("pddl-1.0", r"(?:public domain dedication and license|pddl)(?: version| v)?(?: 1 0)?", "pddl 1 0", "opendatacommons org licenses pddl"),
-    ("cc0-1.0", r"(?:cc0|creative commons zero|cc zero)(?: version| v)?(?: 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by", r"(?:cc by|creative commons attribution)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by(?: \\d \\d)?", "creativecommons org licenses by"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by sa(?: \\d \\d)?", "creativecommons org licenses by sa"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: license)?(?: \d \d)?(?: international| unported)?", "cc by nd(?: \\d \\d)?", "creativecommons org licenses by nd"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by nc(?: \\d \\d)?", "creativecommons org licenses by nc"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: license)?(?: \d \d)?(?: international| unported| generic)?", "cc by nc sa(?: \\d \\d)?", "creativecommons org licenses by nc sa"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: license)?(?: \d \d)?(?: international| unported)?", "cc by nc nd(?: \\d \\d)?", "creativecommons org licenses by nc nd"),
-    ("openrail", r"(?:creativeml |bigscience |bigcode )?(?:open )?rail(?: m)?", "(?:bigscience |creativeml )?openrail(?: m)?", "huggingface co spaces license"),
-    ("llama-2", r"llama 2 community", "llama2", "ai meta com llama license"),
-    ("elastic-2.0", r"elastic license(?: version| v)? ?2(?: 0)?", "elastic 2 0", "elastic co licensing elastic license"),
-    ("sspl-1.0", r"(?:server side public license|sspl)(?: version| v)?(?: 1)?", "sspl 1 0", "mongodb com licensing server side public license"),
-    ("vim", r"vim", "vim", "vimdoc sourceforge net htmldoc uganda"),
-    ("ncsa", r"(?:university of illinois )?ncsa(?: open source)?", "ncsa", "opensource org licenses ncsa"),
-    ("upl-1.0", r"universal permissive license(?: version| v)?(?: 1 0)?", "upl 1 0", "opensource org licenses upl"),
-)
-
-#: Signatures that belong to no family.
-OTHERS = (
-    ("all-rights-reserved", 1, r" all rights reserved(?= )"),
-    ("copyright", 1, r" copyright (?:c )?(?:\d{4}(?: \d{4})*|by)(?= )"),
-    ("public-domain", 2, r" (?:dedicated|released|placed) (?:in|in to|into|to) the public domain(?= )"),
-    ("mit", 2, r" permission is hereby granted free of charge to any person obtaining a copy(?= )"),
-    ("bsd", 2, r" redistribution and use in source and binary forms with or without modification are permitted(?= )"),
-    ("isc", 2, r" permission to use copy modify and or distribute this software for any purpose(?= )"),
-    ("gpl", 2, r" under the terms of the gnu general public license(?= )"),
-    ("proprietary", 2, r" (?:proprietary and confidential|confidential and proprietary)(?= )"),
-    ("license-file", 1, r" see (?:the )?(?:accompanying )?license (?:file|txt|md)(?= )"),
-    ("unknown-license", 0, r" licensed under(?= )"),
-)
-
-#: Trust in a detection of each priority, and in a base phrase.
-CONFIDENCE, BASE_CONFIDENCE = (0.3, 0.6, 0.9, 1.0), 0.9
-_GRANT = r"(?:released|distributed|available|published|provided|covered|redistributed|made available|dual licensed|governed)"
-#: What tells nothing of a rule, what most rules need, and the length from which a root is looked for within words too.
-COMMON, LICENSE, SHORT = {"under", "the", "by", "org", "com", "net", *findall("[a-z]+", _GRANT)}, "licen", 5
-
-
-def anchors(pattern: str) -> tuple[str, ...]:
-    """Literals of which every match of the pattern has one: the longest that the pattern has, or one of each branch."""
-    best, run = ("",), ""
-    for kind, value in [*_parser.parse(pattern), (None, None)]:
-        if kind is _constants.LITERAL:
-            run += chr(value)
-            continue
-        best, run = max(best, (run,), key=lambda x: min(map(len, x))), ""
-        if kind is _constants.SUBPATTERN:
-            value = [(_constants.BRANCH, (None, [value[-1]]))] if not (len(value[-1]) == 1 and value[-1][0][0] is _constants.BRANCH) else value[-1]
-            kind, value = value[0]
-        if kind is _constants.BRANCH:
-            found = tuple(_longest(branch) for branch in value[1])
-            best = max(best, found, key=lambda x: min(map(len, x)))
-    return best
-
+def ways(pattern: str) -> set[str]:
+    r"""What a match of a pattern holds at least: a string for each choice among its branches.
 
-def _longest(parts) -> str:
-    runs = [""]
-    for kind, value in parts:
-        runs = [*runs[:-1], runs[-1] + chr(value)] if kind is _constants.LITERAL else [*runs, ""]
-    return max(runs, key=len)
+    Whatever may be left out is left out: \1 stands for whole words that may be there
+    or not, \0 for anything.  Knows what the signatures use: literals, sets of
+    letters, ``\d``, ``\S``, groups with branches, and after these ``?``, ``*``, ``+``
+    or a range.
+    """
+    at = 0
+
+    def branches() -> list[str]:
+        nonlocal at
+        out = [[""]]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            at += 1
+            if c == "|":
+                out.append([""])
+                continue
+            if c == "(":
+                at += 2  # ?:
+                part = branches()
+                at += 1
+            elif c == "[":
+                end = pattern.index("]", at)
+                part, at = list(pattern[at:end]), end + 1
+            elif c == "\\":
+                at += 1
+                part = ["\0"]
+            else:
+                part = [c]
+            after = pattern[at : at + 1]
+            if after in ("?", "*"):
+                at += 1
+                if len(part) == 1 and part[0] in (" ", "e"):
+                    part = [*part, ""]  # a word of its own or not, and another spelling
+                else:
+                    part = ["\1" if all(x[:1] in (" ", "\1") or x[-1:] in (" ", "\1") for x in part) else "\0"]
+            elif after in ("+", "{"):
+                at = pattern.index("}", at) + 1 if after == "{" else at + 1
+                part = ["\0"]
+            out[-1] = [x + y for x in out[-1] for y in part]
+        return [x for alternative in out for x in alternative]
+
+    return set(branches())
+
+
+def rule(label: str, priority: int, pattern: str) -> Rule:
+    """The rule of a pattern over whole words."""
+    keywords, words = set(), set()
+    for way in ways(pattern):
+        tells = lambda w: w not in COMMON and not w.isdigit()
+        keywords.add(max(way.replace("\1", "\0").split("\0"), key=lambda x: (any(tells(w) and w not in TELLING for w in x.split()), len(x))).strip())
+        # Without the words that may be left out, those beside them may be one: "gpl 2", "gpl2".
+        for between in (" ", ""):
+            whole = [w for w in re.sub("\1+", " ", re.sub("(?<=[^ \0\1])\1+(?=[^ \0\1])", between, way)).split() if "\0" not in w]
+            words.add(next((w for w in TELLING if w in whole), None) or max(whole, key=lambda w: (tells(w), len(w))))
+    return Rule(label, priority, tuple(sorted(keywords)), tuple(sorted(words)), f" {pattern}(?= )")
 
 
 def rules() -> list[Rule]:
-    """All rules in order: base phrases first, then five signatures for each family, then the rest."""
-    out = [Rule(label, -1, (f" {phrase} ",), f" {phrase}(?= )") for phrase, label in BASE]
+    """All rules in order: base phrases, texts, then the tag, address, grants and name of each family, and notices."""
+    out = [rule(label, -1, phrase) for phrase, label in BASE]
+    out += [rule(label, 2, pattern) for label, pattern in TEXTS]
     maybe = "(?: licen[cs]e)?"
     for label, name, tag, address in FAMILIES:
         # A name that says so itself needs no such word after it; "mit" alone is German.
         word = maybe if "licen" in name or label.startswith(("cc", "gpl", "lgpl", "agpl")) else r"(?: public)? licen[cs]e"
         out += [
-            Rule(label, 3, (" spdx license identifier ",), rf" spdx license identifier {tag}(?= )"),
-            Rule(label, 2, anchors(name), rf" licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{name}{maybe}(?: terms)?(?= )"),
-            Rule(label, 2, anchors(name), rf" {_GRANT} under (?:the )?(?:terms of (?:the )?)?{name}{word}(?= )"),
-            Rule(label, 2, anchors(address), rf" (?:https? )?(?:www )?{address}(?= )"),
-            Rule(label, 1, anchors(name), rf" {name}{word}(?: version| v)?(?= )"),
+            rule(label, 3, f"spdx license identifier {tag}"),
+            rule(label, 2, f"(?:https )?(?:www )?{address}"),
+            rule(label, 2, f"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?{name}{maybe}(?: terms)?"),
+            rule(label, 2, f"{_GRANT} under (?:the )?(?:terms of (?:the )?)?{name}{word}"),
+            rule(label, 1, f"{name}{word}(?: version| v)?"),
         ]
-    return out + [Rule(label, priority, anchors(pattern), pattern) for label, priority, pattern in OTHERS]
-
-
-def _forms(parts) -> set[str]:
-    """The literals of all ways to match, each with a null character where anything or nothing may stand (and a space after whole words)."""
-    out = {""}
-    for kind, value in parts:
-        if kind is _constants.LITERAL:
-            some = {chr(value)}
-        elif kind is _constants.SUBPATTERN:
-            some = _forms(value[-1])
-        elif kind is _constants.BRANCH:
-            some = {form for branch in value[1] for form in _forms(branch)}
-        else:
-            some = {"\0 " if kind is _constants.MAX_REPEAT and all(form.endswith(" ") for form in _forms(value[-1])) else "\0"}
-        out = {x + y for x in out for y in some}
-    return out
-
-
-def roots(table: list[Rule]) -> tuple[str, ...]:
-    """Pieces of words of which every text that a rule matches has one: of each way to match it, the longest word's beginning that isn't common."""
-    forms = {form for r in table for form in _forms(_parser.parse(r.pattern))}
-    found = {LICENSE if LICENSE in form else max((w for w in findall("(?<= )[^\0 ]+", form) if w not in COMMON), key=len) for form in forms}
-    return tuple(sorted(x for x in found if not any(y != x and (x.startswith(y) if len(y) < SHORT else y in x) for y in found)))
-
-
-#: Only texts with one of these, in lower case, are looked at; those shorter than SHORT must begin a word, as they do in all rules.
-ROOTS = roots(rules())
+    return out + [rule(label, 1, pattern) for label, pattern in NOTICES] + [rule("unknown-license", 0, "licensed under")]
 
 
 def _text(value: str) -> str:
@@ -201,13 +137,22 @@ def _spaces(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
-def detections(stream: str, table: list[Rule]) -> Column:
-    """Array of (rule, start, stop), in words, of all matches in the column ``stream``."""
-    literal = "array(" + ", ".join(f"named_struct('rule', {i}, 'keywords', array({', '.join(map(_text, r.keywords))}), 'pattern', {_text(r.pattern)})" for i, r in enumerate(table)) + ")"
-    before = f"aggregate(slice(f.gaps, 1, i + 1), 0, (s, g) -> s + {_spaces('g')}) + aggregate(slice(f.hits, 1, i), 0, (s, g) -> s + {_spaces('g')})"
-    found = f"transform(filter({literal}, r -> exists(r.keywords, k -> contains({stream}, k))), r -> named_struct('rule', r.rule, 'hits', regexp_extract_all({stream}, r.pattern, 0), 'gaps', split({stream}, r.pattern, -1)))"
-    placed = f"transform(filter({found}, f -> size(f.hits) > 0), f -> transform(f.hits, (h, i) -> named_struct('rule', f.rule, 'start', cast({before} as long), 'stop', cast({before} + {_spaces('h')} as long))))"
-    return F.expr(f"flatten({placed})")
+def matches(words: str, table: list[Rule]) -> Column:
+    """array<struct<rule, gaps, lengths>> for the array column ``words``: of each rule with matches the words between them, and in them."""
+    by_word: dict[str, list[int]] = {}
+    for i, r in enumerate(table):
+        for w in r.words:
+            by_word.setdefault(w, []).append(i)
+    # Constants, which the optimiser reads once; as hundreds of expressions they would take seconds to plan.
+    gates = f"from_json({_text(json.dumps(by_word))}, 'map<string, array<int>>')"
+    listed = f"from_json({_text(json.dumps([{'rule': i, 'keywords': r.keywords, 'pattern': r.pattern} for i, r in enumerate(table)]))}, 'array<struct<rule: int, keywords: array<string>, pattern: string>>')"
+    held = f"array_distinct(transform(filter({words}, w -> lower(w) IN ({', '.join(map(_text, sorted(by_word)))})), w -> lower(w)))"
+    stream = f"concat(' ', translate(array_join({words}, ' '), '{UPPER}', '{LOWER}'), ' ')"
+    counts = lambda made: f"transform({made}, x -> {_spaces('x')})"
+    told = f"transform(array_distinct(flatten(transform(h, w -> element_at({gates}, w)))), i -> get({listed}, i))"
+    tried = f"filter({told}, r -> exists(r.keywords, k -> contains(s, k)))"
+    found = f"transform({tried}, r -> named_struct('rule', r.rule, 'gaps', {counts('split(s, r.pattern, -1)')}, 'lengths', {counts('regexp_extract_all(s, r.pattern, 0)')}))"
+    return F.expr(f"transform(array({held}), h -> IF(size(h) > 0, transform(array({stream}), s -> filter({found}, m -> size(m.lengths) > 0))[0], NULL))[0]")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,27 +165,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     detections: label, start and stop in words, of the survivors in order.
 
     Null and empty texts have no words.  Repeated and null ids are scanned row by
-    row; further columns are ignored; an empty table gives an empty result.
+    row; further columns are ignored; an empty table gives an empty result.  The
+    work on a text grows with its length, however many notices it holds.
     """
     spark = docs.sparkSession
     ship(spark)
     table = rules()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    low = F.lower(text)
-    gate = F.lit(False)
-    for root in ROOTS:
-        if len(root) >= SHORT:
-            gate |= F.contains(low, F.lit(root))
-    gate |= low.rlike(f"(?<![0-9a-z])(?:{'|'.join(x for x in ROOTS if len(x) < SHORT)})")
-    stream = F.when(gate, F.regexp_replace(F.concat(F.lit(" "), F.translate(text, UPPER, LOWER), F.lit(" ")), GAP, " "))
     at = workspace(spark, "licenses")
+    # ``words`` is used twice and more, so it stays a projection of its own.
+    words = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
+    rows = words.select("id", F.size("words").cast("long").alias("n_words"), matches("words", table).alias("found"), F.monotonically_increasing_id().alias("row"))
     # Kept once, so that detections can be taken apart and meet their row again.
-    words = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), stream.alias("stream"))
-    rows = words.select("id", "n_words", detections("stream", table).alias("found"), F.monotonically_increasing_id().alias("row"))
     rows = materialize(rows, f"{at}/rows")
 
     label, priority, trust = (F.array(*(F.lit(x) for x in xs)) for xs in ([r.label for r in table], [r.priority for r in table], [BASE_CONFIDENCE if r.priority < 0 else CONFIDENCE[r.priority] for r in table]))
-    each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*", label[F.col("f.rule")].alias("label"), priority[F.col("f.rule")].alias("priority"), trust[F.col("f.rule")].alias("trust"))
+    one = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.rule", F.posexplode(F.arrays_zip("f.gaps", "f.lengths")).alias("i", "m")).where("m.lengths IS NOT NULL")
+    stop = "cast(sum(m.gaps + m.lengths) OVER (PARTITION BY row, rule ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS long)"
+    placed = one.select("row", "rule", F.expr(stop).alias("stop"), "m.lengths").select("row", "rule", (F.col("stop") - F.col("lengths")).alias("start"), "stop")
+    each = placed.select("*", label[F.col("rule")].alias("label"), priority[F.col("rule")].alias("priority"), trust[F.col("rule")].alias("trust"))
     # Sorted so, whatever contains a detection comes before it: the farthest stop so far of each priority tells.
     before = "OVER (PARTITION BY row ORDER BY start, stop DESC, priority DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     reach = "CASE priority " + " ".join(f"WHEN {p} THEN max(CASE WHEN priority >= {p} THEN stop END) {before}" for p in range(len(CONFIDENCE))) + " END"

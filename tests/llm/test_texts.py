@@ -3,12 +3,13 @@
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergeloom.llm import decontam, licenses, queries, quality, quotes, toxicity
+from mergeloom.llm import decontam, licenses, queries, quality, quotes, signatures, toxicity
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -217,22 +218,35 @@ def test_literal_benchmark_passages_and_no_others(spark):
     assert {(r.doc_id, r.item_id) for r in queries.op5_decontamination(spark, SF).collect()} == want
 
 
+COMPILED = [(r, re.compile(r.pattern)) for r in licenses.rules()]
+
+
 def scanned(text):
-    """The same rules in Python, all pairs of detections compared."""
-    table = licenses.rules()
-    low = text.lower()
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
-    if not (any(r in low for r in licenses.ROOTS) or re.search(r"(?<![0-9a-z])cc(?![0-9a-z])", low)):
-        return len(words), [], set()
+    """Every rule tried on every text, all pairs of detections compared."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     stream = " " + "".join(w + " " for w in words)
     found = []
-    for i, rule in enumerate(table):
-        for hit in re.finditer(rule.pattern, stream):
+    for i, (rule, pattern) in enumerate(COMPILED):
+        for hit in pattern.finditer(stream):
             start = stream[: hit.start()].count(" ")
             found.append((start, start + hit[0].count(" "), rule.priority, i))
     base = [f for f in found if f[2] < 0]
     alive = [f for f in found if f[2] >= 0 and not any(g != f and g[2] >= f[2] and g[0] <= f[0] and g[1] >= f[1] and ((g[0], g[1]) != (f[0], f[1]) or g[2] > f[2] or g[3] < f[3]) for g in found)]
-    return len(words), base, {table[f[3]].label for f in base + alive}
+    return len(words), base, {COMPILED[f[3]][0].label for f in base + alive}
+
+
+def digest(texts):
+    """What ``scan`` should say of each text."""
+    out = []
+    for t in texts:
+        n, base, labels = scanned(t or "")
+        out.append((n, len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(labels))))
+    return out
+
+
+def scans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [tuple(r)[1:] for r in sorted(licenses.scan(df).select("doc_id", "n_words", "n_base", "first_word", "last_word", "labels").collect(), key=lambda r: r.doc_id)]
 
 
 NOTICES = [
@@ -245,37 +259,89 @@ NOTICES = [
 def test_licenses_against_all_pairs(spark):
     df = spark.createDataFrame([(i % 12, t, "x") for i, t in enumerate(NOTICES)] + [(99, " lorem ".join(t or "" for t in NOTICES) * 20, "y")], "doc_id long, text string, labels string")
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.scan(df).collect()), key=repr)
-    want = []
-    for r in df.collect():
-        n, base, labels = scanned(r.text or "")
-        want.append((r.doc_id, n, len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None), ",".join(sorted(labels))))
-    assert got == sorted(want, key=repr)
+    texts = df.collect()
+    assert got == sorted(((r.doc_id, *d) for r, d in zip(texts, digest(r.text for r in texts), strict=True)), key=repr)
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def sample(pattern, rng):
+    """A random string that the pattern matches."""
+    at = 0
+
+    def branches():
+        nonlocal at
+        out = [""]
+        while at < len(pattern) and pattern[at] != ")":
+            c, at = pattern[at], at + 1
+            if c == "|":
+                out.append("")
+                continue
+            if c == "(":
+                start = at = at + 2
+                branches()
+                end, at = at, at + 1
+                one = lambda: again(start, end)  # noqa: B023, E731
+            elif c == "[":
+                end = pattern.index("]", at)
+                one, at = (lambda x: lambda: rng.choice(x))(pattern[at:end]), end + 1
+            elif c == "\\":
+                one, at = (lambda x: lambda: rng.choice("0123456789") if x == "d" else rng.choice(["foo", "a1", "zé"]))(pattern[at]), at + 1
+            else:
+                one = (lambda x: lambda: x)(c)
+            least, most = 1, 1
+            if m := re.match(r"\?|\*|\+|\{(\d+)(?:,(\d+))?\}", pattern[at:]):
+                at += len(m[0])
+                least, most = {"?": (0, 1), "*": (0, 3), "+": (1, 3)}.get(m[0]) or (int(m[1]), int(m[2] or m[1]))
+            out[-1] += "".join(one() for _ in range(rng.randint(least, most)))
+        return rng.choice(out)
+
+    def again(start, end):
+        nonlocal at
+        held, at = at, start
+        out = branches()
+        assert at == end
+        at = held
+        return out
+
+    return branches()
+
+
 def test_no_rule_needs_another_rules_words(spark):
-    lines = [
-        "Distributed under the MPL 2.0.", "Released under Apache 2.0.", "Creative Commons Attribution-ShareAlike 4.0 International", "CC0 1.0 Universal", "mozilla.org/MPL/2.0", "eclipse.org/legal/epl-v10", "joinup.ec.europa.eu/collection/eupl",
-        "scripts.sil.org/OFL", "wtfpl.net", "mariadb.com/bsl11", "oracle.com/cddl-1.1", "Placed into the public domain", "proprietary and confidential", "EPL 2.0", "CC-BY-ND", "odc by", "example complete account accord", "caf\u00e9 mpl",
-    ]
-    table = licenses.rules()
-    # Every way to match any rule, with and without what may be left out.
-    for r in table:
-        lines += [form.replace("\0", "") for form in licenses._forms(licenses._parser.parse(r.pattern))]
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {r.doc_id: r.labels != "" for r in licenses.scan(df).collect()}
-    compiled = [re.compile(r.pattern) for r in table]
-    for i, line in enumerate(lines):
-        stream = re.sub(licenses.GAP, " ", f" {line.lower()} ")
-        assert got[i] == any(p.search(stream) for p in compiled), line
-    assert all(got[i] for i in range(16)) and not got[16] and got[17]
-
-
-def test_rules_are_many_and_sound():
+    """What any rule matches is found in a text that holds nothing else."""
+    rng = random.Random(3)
+    texts = []
+    for r, _ in COMPILED:
+        for _ in range(6):
+            texts.append(sample(r.pattern[1:].removesuffix("(?= )"), rng))
+            assert re.fullmatch(r.pattern[1:].removesuffix("(?= )"), texts[-1])
+    got = scans(spark, texts)
+    assert got == digest(texts) and all(g[4] for g in got)
+
+
+def test_lines_that_licenses_are_known_by(spark):
+    lines = {
+        "Distributed under the MPL 2.0.": "mpl-2.0", "Released under Apache 2.0.": "apache-2.0", "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa", "CC0 1.0 Universal": "cc0-1.0", "see mozilla.org/MPL/2.0": "mpl-2.0",
+        "eclipse.org/legal/epl-v10": "epl-1.0", "joinup.ec.europa.eu/collection/eupl": "eupl-1.2", "scripts.sil.org/OFL": "ofl-1.1", "WTFPL.net": "wtfpl", "mariadb.com/bsl11": "busl-1.1", "Placed into the public domain": "public-domain", "PROPRIETARY AND CONFIDENTIAL": "proprietary",
+        "EPL 2.0": "epl-2.0", "CC-BY-ND": "cc-by-nd", "the Software shall be used for Good, not Evil": "json", "Neither the name of Foo Bar Inc. nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "under the same terms as Perl itself": "perl", "Café mpl": "mpl", "Tous droits réservés": "all-rights-reserved", "Work of the U.S. Government": "us-government-work", "SPDX-License-Identifier: CC-BY-4.0": "cc-by",
+        "example complete account accord": "", "mit der Bahn": "", "a license to drive": "",
+    }
+    assert [g[4] for g in scans(spark, lines)] == list(lines.values())
+
+
+def test_many_notices_in_one_text(spark):
+    n = 100_000
+    text = "under the MIT License. " * n
+    began = time.perf_counter()
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels) == (4 * n, n, 0, 4 * (n - 1), "mit")
+    assert len(row.detections) >= n and time.perf_counter() - began < 60
+
+
+def test_rules_are_many_and_by_hand():
     table = licenses.rules()
-    assert len(table) > 300
-    for r in table:
-        assert all(r.keywords) and re.compile(r.pattern)
+    assert len(signatures.TEXTS) > 200 and len({r.pattern for r in table}) == len(table)
+    assert all(all(r.keywords) and all(r.words) for r in table)
 
 
 def test_quotations(spark):
