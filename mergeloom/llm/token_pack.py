@@ -140,22 +140,44 @@ class Reader:
             i = j
 
 
-class WordEncoder:
-    """A tokenizers file whose normaliser and splitter keep nothing of white space.
+#: What ``WordEncoder`` relies on to encode words apart: the normaliser and splitter of a tokenizers file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
 
-    Then a text's ids are those of its runs between ASCII spaces, one after the
-    other, and each distinct run is encoded once.  Such a splitter, which lower-cases
-    too, also always parts an ASCII letter from a following mark like a comma; both
-    are done beforehand, so that a word has one form in the cache.
+class WordEncoder:
+    """A tokenizers file; ids are those of ``encode(text, add_special_tokens=False)``, strings of added tokens included.
+
+    Where the normaliser and splitter are known to keep nothing of white space, a
+    text's ids are those of its runs between ASCII spaces, one after the other, and
+    each distinct run is encoded once.  They lower-case too, and always part an
+    ASCII letter from a following mark like a comma; both are done beforehand, so
+    that a word has one form in the cache.  Texts that hold the string of an added
+    token, and all texts with any other normaliser or splitter, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        split = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        model = told.get("model") or {}
+        self.by_word = told.get("normalizer") == _NORMALIZER and split[0] == _SPLIT and len(split) == 2 and {k: split[1].get(k) for k in _BYTES} == _BYTES and model.get("type") == "BPE" and not model.get("dropout")
+        # Lower-cased: a text without them holds none, however a token is normalised.
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[bytes, bytes] = {}
 
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts, each encoded at once."""
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
     def fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Little-endian 32-bit ids of words that the cache lacks; it takes up short ones while it has room."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -168,22 +190,38 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; null ones have none."""
-        for i, j, data, offsets in blocks(column, SLICE_BYTES):
+        for _, _, data, offsets in blocks(column, SLICE_BYTES):
+            if not self.by_word:
+                plain, at = data.tobytes(), offsets.tolist()
+                yield from self.whole([plain[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+                continue
             lower = _LOWER[data]
+            special = self.special(data.tobytes(), lower.tobytes(), offsets)
             cut = np.flatnonzero(_LETTER[lower[:-1]] & _MARK[lower[1:]]) + 1
             text = np.insert(lower, cut, 0x20).tobytes()
             at = (offsets + np.searchsorted(cut, offsets)).tolist()
             # A text that begins with a mark after another's last letter gets that space, which is nothing.
             split = [text[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
             missing = list(set().union(*split).difference(self.cache))
-            if missing:
-                new = self.fresh(missing)
-                known = self.cache.get
-                for words in split:
-                    yield np.frombuffer(b"".join([known(w) or new.get(w, b"") for w in words]), "<u4")
-            else:
-                for words in split:
-                    yield np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4")
+            new = self.fresh(missing) if missing else {}
+            known = self.cache.get
+            for row, words in enumerate(split):
+                if row in special:
+                    yield special[row]
+                else:
+                    yield np.frombuffer(b"".join([known(w) or new.get(w, b"") for w in words] if new else map(self.cache.__getitem__, words)), "<u4")
+
+    def special(self, plain: bytes, lower: bytes, offsets: np.ndarray) -> dict[int, np.ndarray]:
+        """Ids of the rows that hold an added token's string."""
+        found: set[int] = set()
+        for token in self.added:
+            at = lower.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                found.add(row)
+                at = lower.find(token, int(offsets[row + 1]))
+        rows = sorted(found)
+        return dict(zip(rows, self.whole([plain[offsets[r] : offsets[r + 1]] for r in rows]), strict=True))
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

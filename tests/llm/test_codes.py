@@ -100,7 +100,6 @@ def test_files_hold_what_the_tokenizer_says(spark):
     files, root = token_pack.pack_tokens(df.repartition(5), WORDS, 49_408, 2)
     got = sorted(token_pack.read(files, root).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     start = 0
     for r, (i, text) in zip(got, sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")), strict=True):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -110,6 +109,27 @@ def test_files_hold_what_the_tokenizer_says(spark):
     assert token_pack.read(empty, root).count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "a b", ",", " "])), max_size=6).map("".join), max_size=6))
+def test_ids_are_the_librarys(texts):
+    """Of texts side by side in one block, special strings included."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    assert [i.tolist() for i in token_pack.encoder(WORDS).encode(pa.array(texts, pa.string()))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, t = token_pack.WordEncoder(path), Tokenizer.from_file(path)
+    assert token_pack.encoder(WORDS).by_word and not mine.by_word
+    assert [i.tolist() for i in mine.encode(pa.array(ODD))] == [t.encode(x or "", add_special_tokens=False).ids for x in ODD]
+
+
 def test_archive(spark, monkeypatch):
     pages = [(3, "http://a/ b\n", "same"), (1, None, "same"), (9, "u", "same"), (2, "u", ""), (4, "u", None), (5, "u", "é" * 300_000), (6, "u", "\r\n\r\nWARC/1.1\r\n"), (7, "u", "same2"), (None, "u", "same"), (5, "u", "other"), (1, None, "same")]
     df = spark.createDataFrame([(*p, 0) for p in pages], "page_id long, url string, html string, digest int")
