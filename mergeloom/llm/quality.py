@@ -4,8 +4,13 @@ Twenty statistics of a document's bytes and words, transformed towards normality
 are read off in one pass over the text.  For each class a mean and a covariance
 are summed over all labelled training rows; the covariance is shrunk towards the
 pooled one and that towards its diagonal.  A document's score is the logistic of
-the difference of the two Gaussian log-densities, Mahalanobis terms by triangular
-solves with Cholesky factors that are computed once.
+the difference of the two Gaussian log-densities, over a temperature, with
+Mahalanobis terms from the inverse Cholesky factors, which are computed once.
+
+How much is shrunk and the temperature are chosen by cross-validation within the
+training rows: the sums are kept for each fold, so that the models of all folds and
+choices come from one pass, and a second adds up their losses on the rows left out.
+All sums are of whole numbers, so that they don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -26,10 +31,9 @@ STATISTICS = (
     "bytes", "words", "letters", "capitals", "marks", "exclamations", "digits", "lines", "full stops and commas", "word length", "spread of word lengths",
     "words that end in a mark", "words alike their neighbour", "words without a letter", "short words", "capital words", "words seen once", "longest run of one word", "marks in a row", "words a sentence",
 )
-#: Shares of the pooled covariance in a class's, and of the diagonal in the pooled; least variance.
-SHRINK, DIAGONAL, FLOOR = 0.5, 0.1, 1e-4
-#: The log-odds' divisor: the statistics are not independent draws from Gaussians.
-TEMPERATURE = 8.0
+#: Shares of the pooled covariance in a class's, of the diagonal in the pooled, and divisors of the log-odds (the statistics
+#: are not independent draws from Gaussians) to choose from; folds; least variance; statistics are multiples of 1 / UNIT.
+SHRINK, DIAGONAL, TEMPERATURE, FOLDS, FLOOR, UNIT = (0.1, 0.3, 0.5, 0.7, 0.9), (0.05, 0.2, 0.5), (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 5, 1e-4, 1024
 
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in "#$%&*+<=>@[\\]^_`{|}~!"]] = True
@@ -85,24 +89,28 @@ def statistics(column: pa.Array) -> Iterator[np.ndarray]:
 
 @dataclass
 class Discriminant:
-    """Two Gaussians: means, Cholesky factors of the covariances, log-determinants and log prior."""
+    """Two Gaussians: means, inverse Cholesky factors of the covariances, log-determinants and log prior."""
 
     means: np.ndarray
-    factors: np.ndarray
+    whiten: np.ndarray
     log_dets: np.ndarray
     log_prior: np.ndarray
-    temperature: float = TEMPERATURE
+    temperature: float = 1.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1 for rows of statistics."""
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds of class 1 for rows of statistics, before the temperature."""
         density = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-            density.append(self.log_prior[c] - 0.5 * (self.log_dets[c] + (z * z).sum(0)))
-        return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / self.temperature, -500, 500)))
+            z = (x - self.means[c]) @ self.whiten[c].T
+            density.append(self.log_prior[c] - 0.5 * (self.log_dets[c] + (z * z).sum(1)))
+        return density[1] - density[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Probability of class 1 for rows of statistics."""
+        return 1 / (1 + np.exp(-np.clip(self.odds(x) / self.temperature, -500, 500)))
 
 
-def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrink: float = SHRINK, diagonal: float = DIAGONAL) -> Discriminant:
+def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrink: float, diagonal: float, temperature: float = 1.0) -> Discriminant:
     """From the classes' counts (2), sums (2, d) and sums of outer products (2, d, d); a class without rows takes the other's shape."""
     d, n = sums.shape[1], np.maximum(counts, 1)[:, None]
     if not counts.sum():
@@ -116,7 +124,7 @@ def fit(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrink: floa
     covariance = np.stack([(1 - shrink) * s / max(m - 1, 1) + shrink * pooled if m > d else pooled for s, m in zip(scatter, counts, strict=True)])
     covariance += np.eye(d) * FLOOR
     factors = np.linalg.cholesky(covariance)
-    return Discriminant(means, factors, 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1), np.log((counts + 1) / (counts.sum() + 2)))
+    return Discriminant(means, np.linalg.inv(factors), 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1), np.log((counts + 1) / (counts.sum() + 2)), temperature)
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,31 +132,65 @@ def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = np.concatenate([np.zeros((0, d)), *statistics(batch.column(1))])
+            got = np.rint(np.concatenate([np.zeros((0, d)), *statistics(batch.column(1))]) * UNIT) / UNIT
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), d).cast(pa.list_(pa.float64()))], ["id", "x"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, x array<double>")
 
 
-def _summed(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, sums and sums of products of the classes, over all rows of (label, x)."""
+def _added(rows: DataFrame, size: int, terms) -> np.ndarray:
+    """The sum over all rows (fold, label, x) of ``terms(fold, label, x)``, int64 arrays of ``size`` for batches of rows; exact."""
     d = len(STATISTICS)
 
     def run(batches):
-        total = np.zeros((2, 1 + d + d * d))
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, d)
+            fold, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            total += terms(fold, label, np.asarray(batch.column(2).flatten()).reshape(-1, d))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["m"])
+
+    total = np.zeros(size)
+    # As many rows as ``size``, which depends on the model alone.
+    for r in rows.select("fold", "label", "x").mapInArrow(run, "m array<long>").select(F.posexplode("m")).groupBy("pos").agg(F.sum(F.col("col").cast("decimal(38,0)")).alias("s")).collect():
+        total[r.pos] = float(r.s)
+    return total
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, sums and sums of products by fold and class."""
+    d = len(STATISTICS)
+    width = 1 + d + d * d
+
+    def terms(fold, label, x):
+        out = np.zeros((FOLDS, 2, width), np.int64)
+        whole = np.rint(x * UNIT)
+        for f in range(FOLDS):
             for c in (0, 1):
-                own = x[y == c]
-                total[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+                own = whole[(fold == f) & (label == c)]  # a batch's sums are exact in doubles
+                out[f, c] = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()]).astype(np.int64)
+        return out.ravel()
+
+    total = _added(rows, FOLDS * 2 * width, terms).reshape(FOLDS, 2, width)
+    return total[..., 0], total[..., 1 : 1 + d] / UNIT, total[..., 1 + d :].reshape(FOLDS, 2, d, d) / UNIT**2
+
+
+def learn(rows: DataFrame) -> Discriminant:
+    """The model of all rows (fold, label, x), with the choices of least logarithmic loss on the folds left out; the first of equal ones."""
+    moments = _moments(rows)
+    choices = [(s, g, t) for s in SHRINK for g in DIAGONAL for t in TEMPERATURE]
+    left_out = [[fit(*(m.sum(0) - m[f] for m in moments), s, g) for s in SHRINK for g in DIAGONAL] for f in range(FOLDS)]
+
+    def terms(fold, label, x):
+        out = np.zeros((len(left_out[0]), len(TEMPERATURE)), np.int64)
+        for f in range(FOLDS):
+            own, sign = x[fold == f], np.where(label[fold == f] == 1, -1.0, 1.0)
+            for k, model in enumerate(left_out[f]):
+                odds = model.odds(own) * sign
+                out[k] += [int(np.rint(np.logaddexp(0, np.clip(odds / t, -500, 500)) * 1e6).sum()) for t in TEMPERATURE]
+        return out.ravel()
 
-    total = np.zeros(2 * (1 + d + d * d))
-    for r in labelled.select("label", "x").mapInArrow(run, "m array<double>").select(F.posexplode("m")).groupBy("pos").agg(F.sum("col").alias("s")).collect():
-        total[r.pos] = r.s
-    total = total.reshape(2, -1)
-    return total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d)
+    losses = _added(rows, len(choices), terms)
+    return fit(*(m.sum(0) for m in moments), *choices[int(np.argmin(losses))])
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -159,8 +201,8 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Rows (id, score), one for each row of ``docs``: score is the probability of label 1.
 
-    The model is fitted on all rows of ``labels`` with label 0 or 1 whose document
-    is in ``docs``; pass only those to be learnt from.  Null and empty texts are
+    The model is fitted, and its choices are made, on all rows of ``labels`` with
+    label 0 or 1 whose document is in ``docs``; pass only those to be learnt from.  Null and empty texts are
     documents without words and get the score of such; null ids are scored and
     never learnt from; repeated ids are scored row by row.  Without any label
     every score is 0.5.  Further columns are ignored.
@@ -168,9 +210,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     # One pass over the texts: the statistics are small and kept.
-    measured = materialize(_measured(docs, id_col, text_col), f"{workspace(spark, 'quality')}/statistics")
+    at = workspace(spark, "quality")
+    measured = materialize(_measured(docs, id_col, text_col), f"{at}/statistics")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    model = fit(*_summed(known.join(measured, "id")))
+    fold = F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int")
+    model = learn(materialize(known.join(measured, "id").select(fold.alias("fold"), "label", "x"), f"{at}/labelled"))
 
     def run(batches):
         for batch in batches:

@@ -31,14 +31,14 @@ def op3_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read(files, root).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def judged(scored: DataFrame, least: float) -> DataFrame:
+def judged(scored: DataFrame, least: float, *more: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return judged(toxicity.score(docs, toxicity.fit(docs, quality.training_rows(table(spark, sf_dir, "labels")))), 0.5)
+    return judged(toxicity.score(docs, toxicity.fit(docs, quality.training_rows(table(spark, sf_dir, "labels")))), 0.5, "sentences")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
