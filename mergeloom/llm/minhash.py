@@ -149,6 +149,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], k: int, percent: int
     maybe = 100 * small >= percent * large
     if self_join:
         maybe &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+    # So few pairs are decided on the full sets at once; the links are the same.
     if len(left) * len(right) > 64 and maybe.any():
         overlap = shared_counts([s[:k] for s in left], [s[:k] for s in right])
         need = [np.array([least_shared(int(n), k, percent) if n else 1 for n in side]) for side in sizes]
@@ -210,8 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable by links, itself included; kept: id = component_id.
 
     Null and empty texts, and texts without words, have no shingle and link with
-    nothing.  Equal sets are one node of the graph.  Rows that repeat an id are
-    one node too, and each comes back.  Rows with a null id are returned with
+    nothing.  Equal sets are one node of the graph.  Rows that repeat an id come
+    back each: with equal texts in one component, all kept if the id is its
+    smallest, with other texts in the component of their own text.  Rows with a null id are returned with
     component_id and kept null, unlinked.  Further columns are ignored; an empty
     table gives an empty result.
     """

@@ -47,7 +47,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = quotes.link(table(spark, sf_dir, "conversations"))
-    return linked.select("conv_id", "turn", "role", "text", "n_quoted", "n_linked", "parent_turn", "quoted_parent", "position")
+    told = F.array_join(F.transform("quotes", lambda q: F.concat_ws(":", q["level"], q["turn"], q["text"])), "\n")
+    return linked.select("conv_id", "turn", "role", "text", "n_quoted", "n_linked", told.alias("quoted"), "parent_turn", "quoted_parent", "position", "formatted")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,25 +117,55 @@ FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM co
 """,
     "op6_quotation_linking": rf"""
 WITH messages AS (
-    SELECT *, row_number() OVER w - 1 AS position, lag(turn) OVER w AS before FROM conversations
-    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) - 1 AS place FROM conversations
 ),
-split AS (SELECT conv_id, turn, position, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS lines FROM messages),
-lines AS (SELECT conv_id, turn, position, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM split),
+split AS (SELECT conv_id, place, string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS lines FROM messages),
+lines AS (SELECT conv_id, place, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM split),
 parsed AS (
-    SELECT *, length(regexp_extract(line, '{quotes.PREFIX}', 1)) - length(replace(regexp_extract(line, '{quotes.PREFIX}', 1), '>', '')) AS level,
-        regexp_replace(line, '{quotes.PREFIX}', '') AS rest, trim(regexp_replace(lower(regexp_replace(line, '{quotes.PREFIX}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said
+    SELECT conv_id, place, n, length(regexp_extract(line, '{quotes.PREFIX}', 1)) - length(replace(regexp_extract(line, '{quotes.PREFIX}', 1), '>', '')) AS level, regexp_replace(line, '{quotes.PREFIX}', '') AS rest
     FROM lines
 ),
-origin AS (SELECT conv_id, said, min(position) AS first FROM parsed WHERE level = 0 AND said <> '' GROUP BY ALL),
-found AS (
-    SELECT q.conv_id, q.position, count(*) AS n_quoted, count(o.first) AS n_linked, max(o.first) FILTER (q.level = 1) AS nearest
-    FROM parsed q LEFT JOIN origin o ON o.conv_id = q.conv_id AND o.said = q.said AND o.first < q.position WHERE q.level > 0 AND q.said <> '' GROUP BY ALL
+changes AS (SELECT *, CASE WHEN level <> lag(level) OVER (PARTITION BY conv_id, place ORDER BY n) THEN 1 ELSE 0 END AS changed FROM parsed),
+islands AS (SELECT *, sum(changed) OVER (PARTITION BY conv_id, place ORDER BY n) AS island FROM changes),
+passages AS (
+    SELECT *, trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said
+    FROM (SELECT conv_id, place, island, level, string_agg(rest, chr(10) ORDER BY n) AS body FROM islands WHERE level > 0 GROUP BY ALL)
 ),
-bodies AS (SELECT conv_id, position, coalesce(string_agg(rest, chr(10) ORDER BY n) FILTER (level = 0), '') AS body FROM parsed GROUP BY ALL)
-SELECT m.conv_id, m.turn, m.role, regexp_replace(body, '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') AS text, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
-    coalesce(p.turn, m.before) AS parent_turn, nearest IS NOT NULL AS quoted_parent, m.position
-FROM messages m JOIN bodies USING (conv_id, position) LEFT JOIN found USING (conv_id, position) LEFT JOIN messages p ON p.conv_id = m.conv_id AND p.position = found.nearest
+hashed AS (
+    SELECT conv_id, place, island, CASE WHEN len(string_split(said, ' ')) >= {quotes.WORDS}
+        THEN list_distinct(list_transform(range(1, len(string_split(said, ' ')) - {quotes.WORDS - 2}), lambda i: array_to_string(string_split(said, ' ')[i:i + {quotes.WORDS - 1}], ' '))) ELSE ['=' || said] END AS units
+    FROM passages WHERE said <> ''
+),
+quoted AS (SELECT conv_id, place, island, len(units) AS of, unnest(units) AS unit FROM hashed),
+bodies AS (SELECT conv_id, place, coalesce(string_agg(rest, chr(10) ORDER BY n) FILTER (level = 0), '') AS body FROM parsed GROUP BY ALL),
+words AS (SELECT conv_id, place, body, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM bodies),
+own AS (
+    SELECT DISTINCT conv_id, place, unnest(list_concat(
+        list_transform(range(1, len(w) - {quotes.WORDS - 2}), lambda i: array_to_string(w[i:i + {quotes.WORDS - 1}], ' ')),
+        list_transform(list_filter(list_transform(list_concat(string_split_regex(body, '\n'), string_split_regex(body, '[.!?\n]+')), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))),
+            lambda x: x <> '' AND len(string_split(x, ' ')) < {quotes.WORDS}), lambda x: '=' || x))) AS unit
+    FROM words
+),
+met AS (
+    SELECT q.conv_id, q.place, q.island, q.of, q.unit, max(o.place) AS source FROM quoted q JOIN own o ON o.conv_id IS NOT DISTINCT FROM q.conv_id AND o.unit = q.unit AND o.place < q.place GROUP BY ALL
+),
+votes AS (SELECT conv_id, place, island, of, source, count(*) AS n FROM met GROUP BY ALL HAVING n >= {quotes.COVER} * of),
+links AS (SELECT conv_id, place, island, arg_max(source, n * 1000000000 + source) AS source FROM votes GROUP BY ALL),
+told AS (
+    SELECT p.conv_id, p.place, count(*) AS n_quoted, count(l.source) AS n_linked, max(l.source) FILTER (p.level = 1) AS parent,
+        string_agg(concat_ws(':', p.level, m.turn, p.body), chr(10) ORDER BY p.island) FILTER (l.source IS NOT NULL) AS quoted
+    FROM passages p LEFT JOIN links l ON l.conv_id IS NOT DISTINCT FROM p.conv_id AND l.place = p.place AND l.island = p.island
+    LEFT JOIN messages m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.place = l.source
+    WHERE p.said <> '' GROUP BY ALL
+),
+replies AS (
+    SELECT m.conv_id, m.turn, m.role, m.place, coalesce(t.n_quoted, 0) AS n_quoted, coalesce(t.n_linked, 0) AS n_linked, coalesce(t.quoted, '') AS quoted, coalesce(t.parent, m.place - 1) AS parent, t.parent IS NOT NULL AS quoted_parent,
+        regexp_replace(b.body, '^(?:[ \t]*\n)+|(?:\n[ \t]*)+$', '', 'g') AS said
+    FROM messages m JOIN bodies b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.place = m.place LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM m.conv_id AND t.place = m.place
+)
+SELECT r.conv_id, r.turn, r.role, r.said AS text, r.n_quoted, r.n_linked, r.quoted, p.turn AS parent_turn, r.quoted_parent,
+    row_number() OVER (PARTITION BY r.conv_id ORDER BY r.parent, r.place) - 1 AS position, '<|' || coalesce(r.role, '') || '|>' || chr(10) || r.said || chr(10) || '<|end|>' AS formatted
+FROM replies r LEFT JOIN messages p ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND p.place = r.parent
 """,
     "op8_minhash_near_dedup": rf"""
 WITH RECURSIVE words AS (

@@ -1,10 +1,12 @@
 """Classifiers, leaks, licenses, quotations and the pipeline."""
 
+import hashlib
 import os
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -381,23 +383,118 @@ def test_quotations(spark):
         (1, 0, "user", "Shall we meet on Monday?\nBring the papers."),
         (1, 1, "assistant", "> Shall we  meet on monday\nYes."),
         (1, 2, "user", ">> Shall we meet on Monday?\n> Yes.\n\nGood, then.\n"),
-        (1, 3, "user", "> Bring the papers.\n> never said\nI will."),
+        (1, 3, "user", "> Bring the papers.\nI will.\n> never said\n"),
         (2, 0, "user", None), (2, 0, "user", ""), (2, 1, None, "> Yes."), (None, 5, "user", "alone"), (None, 6, "user", "> alone\n"), (3, None, "user", "x"),
     ]
     df = spark.createDataFrame([(*t, "x") for t in talk], "conv_id long, turn long, role string, text string, position string")
-    got = {(r.conv_id, r.turn, r.position): r for r in quotes.link(df).collect()}
-    assert len(got) == len(talk)
-    one = [got[1, i, i] for i in range(4)]
+    got = {(r.conv_id, r.turn, r.role, r.text): r for r in quotes.link(df).collect()}
+    assert quotes.link(df).count() == len(talk)
+    one = [next(r for r in got.values() if (r.conv_id, r.turn) == (1, i)) for i in range(4)]
     assert [r.text for r in one] == ["Shall we meet on Monday?\nBring the papers.", "Yes.", "Good, then.", "I will."]
     assert [r.parent_turn for r in one] == [None, 0, 1, 0] and [r.quoted_parent for r in one] == [False, True, True, True]
+    # What answers the first message stands before the answer to an answer.
+    assert [r.position for r in one] == [0, 1, 3, 2]
     assert [(q.level, q.turn) for q in one[2].quotes] == [(2, 0), (1, 1)]
     assert (one[3].n_quoted, one[3].n_linked) == (2, 1)
-    assert got[2, 1, 2].quoted_parent is False and got[2, 1, 2].parent_turn == 0
-    assert got[None, 6, 1].parent_turn == 5 and got[None, 6, 1].quoted_parent and got[None, 6, 1].text == ""
+    last = got[2, 1, None, ""]
+    assert last.quoted_parent is False and last.parent_turn == 0 and last.position == 2
+    assert got[None, 6, "user", ""].parent_turn == 5 and got[None, 6, "user", ""].quoted_parent
     assert one[1].formatted == "<|assistant|>\nYes.\n<|end|>"
     assert quotes.link(df.where("false")).count() == 0
 
 
+def test_passages_in_other_lines(spark):
+    long = "I think that the old bridge by the mill will not hold until the spring, and we should close it now."
+    talk = [
+        (0, long + "\nOk."), (1, "Ok.\nSomething else that nobody quotes at all."), (2, "> I think that the old bridge by\n> the mill will not hold until the spring,\n> and we should close it now.\nAgreed."),
+        (3, "> the mill will not hold until the spring\n> \n> and we should CLOSE it now\nWhy?"), (4, "> ok\nFine."), (5, "> the mill will not hold for ever and nobody should cross the river\nNo."),
+    ]
+    df = spark.createDataFrame([(7, t, "user", x) for t, x in talk], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in quotes.link(df).collect()}
+    assert [(got[t].n_quoted, got[t].n_linked, [q.turn for q in got[t].quotes]) for t in range(2, 6)] == [(1, 1, [0]), (1, 1, [0]), (1, 1, [1]), (1, 0, [])]
+    assert got[3].quotes[0].text == "the mill will not hold until the spring\n\nand we should CLOSE it now"
+
+
+def talks(n, seed):
+    """Messages of a hot and of other conversations that quote earlier ones, re-wrapped or in part."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    out, said = [], {}
+    for i in range(n):
+        conv = 0 if rng.random() < 0.4 else rng.choice([None, *range(1, n // 8)])
+        own = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 14))) + rng.choice([".", "!", ""]) for _ in range(rng.randint(1, 4))] + rng.choice([[], ["Yes."], ["a common line that all of them say"]])
+        text = list(own)
+        if said.get(conv) and rng.random() < 0.6:
+            words = re.sub(r"[.!]", "", " ".join(rng.choice(said[conv]))).split()
+            words = words[rng.randrange(len(words)) :] if rng.random() < 0.3 else words
+            cut = rng.randint(1, len(words))
+            mark = rng.choice(["> ", ">", "> > ", ">> "])
+            text = [mark + " ".join(words[:cut]), *([mark + " ".join(words[cut:])] if words[cut:] else []), *own]
+        said.setdefault(conv, []).append(own)
+        out.append((conv, i // 3, rng.choice(["user", "assistant", None]), "\n".join(text)))
+    return out
+
+
+def linked(messages):
+    """The same by going through each conversation in order."""
+    out, place = [], {}
+    words = lambda t: re.sub(r"[^\w]+|_+", " ", t.lower()).split()
+    units = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {("=", *w)}
+    rank = lambda m: (m[1], m[2] is not None, m[2] or "", hashlib.md5(m[3].encode()).hexdigest())
+    for conv in {m[0] for m in messages}:
+        latest, rows = {}, sorted((m for m in messages if m[0] == conv), key=rank)
+        for at, (_, turn, role, text) in enumerate(rows):
+            parts = []
+            for line in text.split("\n"):
+                marks = re.match(r"[ \t]*((?:>[ \t]?)*)", line)
+                level = marks[1].count(">")
+                if not parts or parts[-1][0] != level:
+                    parts.append((level, []))
+                parts[-1][1].append(line[marks.end() :])
+            parent, n, quoted = None, 0, []
+            for level, ls in parts:
+                if level and words(" ".join(ls)):
+                    n += 1
+                    of = units(words(" ".join(ls)))
+                    votes = Counter(latest[u] for u in of if u in latest)
+                    best = max(votes, key=lambda s: (votes[s], s), default=None)
+                    if best is not None and votes[best] >= 0.5 * len(of):
+                        quoted.append((level, rows[best][1]))
+                        if level == 1:
+                            parent = max(best, -1 if parent is None else parent)
+            own = "\n".join(x for level, ls in parts if level == 0 for x in ls)
+            w = words(own)
+            short = [words(x) for x in own.split("\n") + re.split(r"[.!?\n]+", own)]
+            for u in {tuple(w[i : i + 5]) for i in range(len(w) - 4)} | {("=", *x) for x in short if 0 < len(x) < 5}:
+                latest[u] = at
+            place[conv, at] = (parent if parent is not None else at - 1, turn, role, own.strip("\n"), n, quoted, parent is not None)
+        order = sorted(range(len(rows)), key=lambda at: (place[conv, at][0], at))
+        for position, at in enumerate(order):
+            parent, turn, role, own, n, quoted, known = place[conv, at]
+            out.append((conv, turn, role, own, n, tuple(quoted), rows[parent][1] if parent >= 0 else None, known, position))
+    return sorted(out, key=repr)
+
+
+def test_quotations_by_going_through(spark):
+    messages = talks(6000, 1)
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted(((r.conv_id, r.turn, r.role, r.text, r.n_quoted, tuple((q.level, q.turn) for q in r.quotes), r.parent_turn, r.quoted_parent, r.position) for r in quotes.link(df).collect()), key=repr)
+    assert got == linked(messages)
+    assert sum(len(g[5]) for g in got) > 2000 and sum(g[0] == 0 for g in got) > 2000
+
+
+def test_quotations_in_sql(spark, tmp_path):
+    import duckdb
+
+    df = spark.createDataFrame(talks(500, 2), "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op6_quotation_linking(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op6_quotation_linking']})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 @tables
 def test_pipeline_keeps_what_each_stage_keeps(spark):
     import corpus_pipeline
@@ -413,8 +510,6 @@ def test_pipeline_keeps_what_each_stage_keeps(spark):
     out = corpus_pipeline.run(spark, SF)
     assert ids(out) == left
     texts = {r.doc_id: r.text for r in docs.collect()}
-    import hashlib
-
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.n_tokens == len(r.ids) for r in out.collect())
 
 
