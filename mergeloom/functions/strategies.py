@@ -164,6 +164,21 @@ class LongestWins(Strategy):
         return F.struct(F.char_length(v.cast("string")), ts, ordered(v, kind))
 
 
+@dataclass(frozen=True)
+class Mean(Strategy):
+    """The mean of numbers, of many cells the mean of all; not associative pair by pair.  Of anything else the later."""
+
+    name: ClassVar[str] = "avg"
+
+    def pair(self, a, b, ta, tb, kind):
+        if not isinstance(kind, T.NumericType):
+            return LWW().pair(a, b, ta, tb, kind)
+        return ((a.cast("double") + b.cast("double")) / 2).cast(kind)
+
+    def agg(self, v, ts, kind):
+        return F.avg(v).cast(kind) if isinstance(kind, T.NumericType) else LWW().agg(v, ts, kind)
+
+
 @dataclass(frozen=True)
 class Custom(Strategy):
     """A function of two Columns, or of (a, b, ta, tb); many cells are folded by time, then value."""
@@ -185,9 +200,9 @@ class Custom(Strategy):
         return F.when(F.size(cells) > 0, folded["v"])
 
 
-STRATEGIES: dict[str, type[Strategy]] = {c.name: c for c in (LWW, MaxWins, MinWins, UnionSet, Concat, Priority, LongestWins)}
+STRATEGIES: dict[str, type[Strategy]] = {c.name: c for c in (LWW, MaxWins, MinWins, UnionSet, Concat, Priority, LongestWins, Mean)}
 #: Other names that the merge language and stored schemas may use.
-ALIASES = {"latest": "lww", "last": "lww", "last_writer_wins": "lww", "maxwins": "max", "minwins": "min", "unionset": "union", "set": "union", "longestwins": "longest"}
+ALIASES = {"latest": "lww", "last": "lww", "last_writer_wins": "lww", "maxwins": "max", "minwins": "min", "unionset": "union", "set": "union", "longestwins": "longest", "mean": "avg", "average": "avg"}
 _CUSTOM: dict[str, Custom] = {}
 
 

@@ -56,9 +56,18 @@ def python_text(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.initcap(value.cast("string"))
     if isinstance(kind, FLOATS):
-        plain = F.regexp_replace(F.format_string("%.17f", value), r"(\.\d+?)0+$", "$1")
+        # The JVM's shortest digits are Python's too; they differ in when there is an exponent, and in its form.
         short = value.cast("string")
-        return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when(short.contains("E") & (F.abs(value) >= 1e7) & (F.abs(value) < 1e16), F.regexp_replace(F.format_string("%.1f", value), r"(\.\d+?)0+$", "$1")).when(short.contains("E"), F.lower(short)).otherwise(F.coalesce(short, plain))
+        mantissa = F.regexp_replace(F.regexp_extract(short, r"^-?(.*)E", 1), r"\.0$", "")
+        exponent = F.regexp_extract(short, r"E(-?\d+)$", 1).try_cast("int")
+        digits, sign = F.replace(mantissa, F.lit("."), F.lit("")), F.when(value < 0, "-").otherwise("")
+        size = F.abs(exponent).cast("string")
+        scientific = F.concat(sign, mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+        whole = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")), F.lit("."), F.when(F.length(digits) > exponent + 1, F.substring(digits, exponent + 2, F.length(digits))).otherwise("0"))
+        other = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == -float("inf"), "-inf")
+        # Of the least double the JVM writes a digit more.
+        other = other.when(F.abs(value) == 5e-324, F.concat(sign, F.lit("5e-324")))
+        return other.when(~short.contains("E"), short).when(exponent == -4, F.concat(sign, F.lit("0.000"), digits)).when((exponent > 0) & (exponent < 16), whole).otherwise(scientific)
     return value.cast("string")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import as_list
+from ..session import shared_dir
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -114,7 +115,9 @@ def components(pairs: DataFrame) -> DataFrame:
     Large-star and small-star steps (Kiveris et al., SoCC 2014) alternate until only
     stars are left, which takes a logarithmic number of rounds.
     """
-    keep = (lambda d: d.checkpoint()) if pairs.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.localCheckpoint())
+    if not pairs.sparkSession.sparkContext.getCheckpointDir():
+        pairs.sparkSession.sparkContext.setCheckpointDir(shared_dir(pairs.sparkSession))
+    keep = lambda d: d.checkpoint()
     edges = keep(pairs.select("a", "b"))
     stars = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
@@ -141,6 +144,30 @@ def fuzzy_rows(df: DataFrame, key: str | Sequence[str], threshold: float = 0.85)
     return fuzzy(named, "__text", "__order", threshold).where("kept").select(df.columns)
 
 
+# --- an index of what was seen ---
+
+
+def seen(df: DataFrame, text: str | Column) -> DataFrame:
+    """The hashes of lower-cased texts, as an index (hash); null texts are one text."""
+    text = F.col(text) if isinstance(text, str) else text
+    return df.select(F.sha2(F.concat(F.when(text.isNull(), "-").otherwise("+"), F.lower(F.coalesce(text, F.lit("")))), 256).alias("hash")).distinct()
+
+
+def merge_seen(*indexes: DataFrame) -> DataFrame:
+    """The union of indexes, whatever their order."""
+    out = indexes[0]
+    for i in indexes[1:]:
+        out = out.unionByName(i)
+    return out.distinct()
+
+
+def unseen(df: DataFrame, text: str, index: DataFrame) -> DataFrame:
+    """Rows whose text no index of other rows holds."""
+    named = df.withColumn("__text", F.col(text))
+    hashed = named.withColumn("__hash", F.sha2(F.concat(F.when(F.col("__text").isNull(), "-").otherwise("+"), F.lower(F.coalesce("__text", F.lit("")))), 256))
+    return hashed.join(index.withColumnRenamed("hash", "__hash"), "__hash", "left_anti").select(df.columns)
+
+
 # --- MinHash ---
 
 

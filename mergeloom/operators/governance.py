@@ -180,6 +180,12 @@ def compliance(spark: SparkSession, evidence: Mapping, prefix: str = "") -> Data
     return spark.createDataFrame([(n, *r(evidence)) for n, r in sorted(_RULES.items()) if n.startswith(prefix)], "rule string, status string, description string")
 
 
+def compliance_summary(report: DataFrame) -> DataFrame:
+    """Rows (framework, rules, passed, failed, compliant) of a compliance report; a framework is what stands before a rule's first underscore."""
+    framework = F.substring_index("rule", "_", 1).alias("framework")
+    return report.groupBy(framework).agg(F.count("*").alias("rules"), F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "fail").alias("failed")).withColumn("compliant", F.col("failed") == 0)
+
+
 def forget(merged: DataFrame, log: DataFrame, key: str, side: str) -> tuple[DataFrame, DataFrame]:
     """A side's contribution taken back, and one row that reports it: rows before and after, cells that still show it."""
     from .merge import unmerge, unmerge_residual
@@ -246,6 +252,18 @@ def conflict_clusters(log: DataFrame, key: str) -> DataFrame:
     return sets.groupBy("fields").agg(F.count("*").alias("keys"))
 
 
+def conflict_times(log: DataFrame, times: DataFrame, key: str, ts: str, width: float) -> DataFrame:
+    """Conflicts by spans of ``width`` seconds of their keys' time (key, ts): (span, field, conflicts)."""
+    hit = log.where("source = 'conflict_resolved'").select(key, "field")
+    return hit.join(times.select(key, F.col(ts).cast("double").alias("__ts")), key).groupBy((F.floor(F.col("__ts") / width) * width).alias("span"), "field").agg(F.count("*").alias("conflicts"))
+
+
+def most_conflicted(log: DataFrame, key: str, n: int = 10, least: bool = False) -> DataFrame:
+    """The ``n`` keys with most (or least) fields in conflict, then the smallest: (key, conflicts)."""
+    per = log.groupBy(key).agg(F.count_if(F.col("source") == "conflict_resolved").alias("conflicts"))
+    return per.orderBy(F.col("conflicts").asc() if least else F.col("conflicts").desc(), key).limit(n)
+
+
 def conflict_graph(log: DataFrame, key: str) -> DataFrame:
     """Links (source, target, weight) between fields that conflict in the same rows, for drawing."""
     hit = log.where("source = 'conflict_resolved'").select(key, "field")

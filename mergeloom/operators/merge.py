@@ -68,6 +68,28 @@ def _cell(c: str, kind: T.DataType, a: DataFrame, b: DataFrame, decide) -> Colum
     return F.when(vb.isNull() | same, va).when(va.isNull(), vb).otherwise(decide(va, vb))
 
 
+def resolved(name: str, va: Column, vb: Column, ta: Column, tb: Column, kind: T.DataType, rules: MergeSchema, ts: str | None = None) -> Column:
+    """Two cells that differ, by the rules of a schema.
+
+    Structs without a strategy of their own merge field by field, each by its name's
+    strategy and by the struct's own time stamp; lists merge element by element, and
+    what the longer one has more stays; all else is decided whole.
+    """
+    if isinstance(kind, T.StructType) and name not in rules.columns:
+        stamp = lambda v: seconds(v[ts], kind[ts].dataType) if ts and ts in kind.names else F.lit(0.0)
+        return F.struct(*(_either(va[f.name], vb[f.name], f.dataType, lambda x, y, f=f: resolved(f.name, x, y, stamp(va), stamp(vb), f.dataType, rules, ts)).alias(f.name) for f in kind))
+    if isinstance(kind, T.ArrayType):
+        of = kind.elementType
+        nested = MergeSchema(rules[name], {}) if not isinstance(of, T.StructType) else MergeSchema(rules.default, {c: s for c, s in rules.columns.items() if c != name})
+        return F.zip_with(va, vb, lambda x, y: _either(x, y, of, lambda p, q: resolved(name, p, q, ta, tb, of, nested, ts)))
+    return rules[name].pair(va, vb, ta, tb, kind).cast(kind)
+
+
+def _either(va: Column, vb: Column, kind: T.DataType, decide) -> Column:
+    """The cell that is there, the first of equal ones, or what is decided."""
+    return F.when(vb.isNull() | ordered(va, kind).eqNullSafe(ordered(vb, kind)), va).when(va.isNull(), vb).otherwise(decide(va, vb))
+
+
 def merge(
     a: DataFrame, b: DataFrame, key: str | Sequence[str] | None = None, timestamp_col: str | None = None, prefer: str = "latest", schema: Schema = None, dedup: bool = True, *,
     on_duplicate: str = "last", null_keys: str = "keep", order_by: Sequence[str] | None = None, nfc: bool = False, fuzzy_dedup: bool = False, fuzzy_threshold: float = 0.85,
@@ -78,7 +100,8 @@ def merge(
     of the same key become one row.  A conflicting cell is decided by ``schema``
     if given, else by the later time stamp (column ``timestamp_col``, or ``_ts``
     where both sides have it), else by ``prefer``: 'a', 'b', or 'latest', the
-    greater value.  The time stamp itself becomes the later one.
+    greater value.  The time stamp itself becomes the later one.  By a schema
+    structs merge field by field and lists element by element (``resolved``).
 
     Rows with a null in their key merge with no other and are kept, or dropped
     with null_keys='drop'.  Of rows that repeat a key within a side the last in
@@ -103,7 +126,7 @@ def merge(
             if c == ts:
                 return lambda va, vb: F.when(tb > ta, vb).otherwise(va)
             if schema is not None:
-                return lambda va, vb: rules[c].pair(va, vb, ta, tb, kind).cast(kind)
+                return lambda va, vb: resolved(c, va, vb, ta, tb, kind, rules, ts)
             if ts:
                 return lambda va, vb: LWW().pair(va, vb, ta, tb, kind)
             if prefer in ("a", "b"):
@@ -247,6 +270,23 @@ def unmerge(merged: DataFrame, log: DataFrame, key: str | Sequence[str], remove:
     return kept.select(*(back(f).alias(f.name) if f.name not in keys else F.col(f.name) for f in merged.schema))
 
 
+def unmerge_delta(delta: DataFrame, log: DataFrame, key: str | Sequence[str], remove: str) -> DataFrame:
+    """A delta without the keys that only side ``remove`` had, its other cells as the other side has them."""
+    keys, keep = as_list(key), "b" if remove == "a" else "a"
+    fields = [f for f in delta.schema if f.name not in [*keys, "_op"]]
+    gone = log.where(F.col("origin") == f"unique_{remove}").select(*keys).distinct()
+    theirs = log.where("source = 'conflict_resolved'").groupBy(*keys).agg(*(F.max(F.when(F.col("field") == f.name, F.col(f"value_{keep}"))).alias(f"__{f.name}") for f in fields))
+    out = delta.join(gone, keys, "left_anti").join(theirs, keys, "left")
+    return out.select(*keys, *(F.when(F.col("_op") == "removed", F.col(f.name)).otherwise(F.coalesce(F.col(f"__{f.name}").cast(f.dataType), F.col(f.name))).alias(f.name) for f in fields), "_op")
+
+
+def export_log(log: DataFrame, path: str, format: str = "jsonl") -> None:
+    """A provenance log as files of JSON Lines, CSV or Parquet."""
+    from ..sources.files import write_table
+
+    write_table(log, path, format)
+
+
 def unmerge_residual(restored: DataFrame, log: DataFrame, key: str | Sequence[str], removed: str) -> DataFrame:
     """Keys and fields in which ``restored`` still shows a value that only the removed side had; empty if all is gone."""
     keys = as_list(key)

@@ -41,13 +41,21 @@ def root(df: DataFrame, key: str | Sequence[str], branching: int = 16, depth: in
     return tree(df, key, branching, depth).where("level = 0").select("hash", "count")
 
 
-def diff(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFrame:
+def diff(a: DataFrame, b: DataFrame, key: str | Sequence[str], buckets: int | None = None) -> DataFrame:
     """Keys (as text) that differ: change 'added', 'removed' or 'modified', of a against b.
 
     Leaves of both sides are dealt by key for their own aggregation, and the join
-    finds them so; ``differing_nodes`` is for sides that can't be joined.
+    finds them so.  With ``buckets`` only leaves of buckets with different contents
+    are joined: for tables that differ in few places.
     """
-    both = leaves(a, key).withColumnRenamed("hash", "old").join(leaves(b, key).withColumnRenamed("hash", "new"), "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    if buckets is not None:
+        bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+        sums = [leaves(df, key).groupBy(bucket).agg(F.bit_xor(F.xxhash64("key", "hash")).alias(f"h{i}"), F.count("*").alias(f"n{i}")) for i, df in enumerate((a, b))]
+        differ = sums[0].join(sums[1], "bucket", "full_outer").where("NOT (h0 <=> h1 AND n0 <=> n1)").select("bucket")
+        sides = [leaves(df, key).withColumn("bucket", bucket).join(differ, "bucket", "left_semi").drop("bucket") for df in (a, b)]
+    else:
+        sides = [leaves(df, key) for df in (a, b)]
+    both = sides[0].withColumnRenamed("hash", "old").join(sides[1].withColumnRenamed("hash", "new"), "key", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     return both.select("key", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified").alias("change"))
 
 

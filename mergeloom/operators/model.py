@@ -253,55 +253,76 @@ def della(df: DataFrame, base: DataFrame, drop: float = 0.5, spread: float = 0.2
     return _per_layer(df, fn, base)
 
 
-def dare_ties(df: DataFrame, base: DataFrame, drop: float = 0.5, seed: int = 42) -> DataFrame:
-    """Dropped distances, then a sign for each position and the mean of those that agree."""
+def dare_ties(df: DataFrame, base: DataFrame, drop: float = 0.5, density: float = 0.5, seed: int = 42) -> DataFrame:
+    """Distances dropped at random, trimmed to the largest ``density`` of what is left, then a sign for each position: the sum of equal shares that agree over their number."""
     def fn(models, b):
         rng = random.Random(seed)
         taus = np.stack([_dropped(m - b, drop, rng) for m in models])
-        sign = np.sign(np.sign(taus).sum(0))
-        agree = (np.sign(taus) == sign) & (taus != 0)
-        return b + np.where(agree, taus, 0).sum(0) / np.maximum(agree.sum(0), 1)
+        for t in taus:
+            left = np.abs(t[t != 0])
+            if left.size:
+                t[np.abs(t) < np.percentile(left, 100 * (1 - density))] = 0.0
+        agree = (np.sign(taus) == np.sign(np.sign(taus).sum(0))) & (taus != 0)
+        return b + np.where(agree, taus / len(models), 0).sum(0) / np.maximum(agree.sum(0), 1)
 
     return _per_layer(df, fn, base)
 
 
-def _matrix(x: np.ndarray, columns: int) -> np.ndarray:
-    return x.reshape(-1, columns) if columns and x.size % columns == 0 else x.reshape(1, -1)
+def _matrix(x: np.ndarray, columns: int) -> np.ndarray | None:
+    """The tensor as a matrix; none for a vector."""
+    return x.reshape(-1, columns) if 1 < columns < x.size and x.size % columns == 0 else None
 
 
-def star(df: DataFrame, base: DataFrame, energy: float = 0.9, columns: int = 0) -> DataFrame:
-    """Distances cut to the singular values that hold ``energy`` of their sum, rescaled to keep it."""
-    def fn(models, b):
-        out = []
-        for m in models:
-            u, s, v = np.linalg.svd(_matrix(m - b, columns), full_matrices=False)
-            k = int(np.searchsorted(np.cumsum(s), energy * s.sum()) + 1) if s.sum() > 0 else 0
-            scale = s.sum() / s[:k].sum() if k else 0.0
-            out.append(((u[:, :k] * s[:k] * scale) @ v[:k]).ravel())
-        return b + np.mean(out, axis=0)
+def star(df: DataFrame, base: DataFrame, fraction: float = 0.5, rescale: bool = True, columns: int = 0) -> DataFrame:
+    """Distances cut to the largest ``fraction`` of their singular values (of a vector, of its entries), rescaled to the same norm, and averaged."""
+    def cut(t):
+        m = _matrix(t, columns)
+        if m is None:
+            out = np.where(np.abs(t) >= np.sort(np.abs(t))[-max(1, int(t.size * fraction))], t, 0.0)
+        else:
+            u, s, v = np.linalg.svd(m, full_matrices=False)
+            k = max(1, int(len(s) * fraction))
+            out = ((u[:, :k] * s[:k]) @ v[:k]).ravel()
+        size = np.linalg.norm(out)
+        return out * (np.linalg.norm(t) / size) if rescale and size > 0 else out
 
-    return _per_layer(df, fn, base)
+    return _per_layer(df, lambda models, b: b + np.mean([cut(m - b) for m in models], axis=0), base)
 
 
 def adarank(df: DataFrame, base: DataFrame, energy: float = 0.9, columns: int = 0) -> DataFrame:
-    """Distances cut to the rank that holds ``energy`` of the squared singular values."""
-    def fn(models, b):
-        out = []
-        for m in models:
-            u, s, v = np.linalg.svd(_matrix(m - b, columns), full_matrices=False)
-            k = int(np.searchsorted(np.cumsum(s**2), energy * (s**2).sum()) + 1) if s.any() else 0
-            out.append(((u[:, :k] * s[:k]) @ v[:k]).ravel())
-        return b + np.mean(out, axis=0)
-
-    return _per_layer(df, fn, base)
-
-
-def svd_knot_tying(df: DataFrame, base: DataFrame, columns: int = 0) -> DataFrame:
-    """Distances expressed in one common basis of all models' right singular vectors, averaged there."""
+    """Distances cut to the least rank (of a vector, number of entries) that holds ``energy`` of the sum of squares, and averaged."""
+    def cut(t):
+        m = _matrix(t, columns)
+        if m is None:
+            order = np.argsort(-np.abs(t), kind="stable")
+            keep = order[: int(np.searchsorted(np.cumsum(t[order] ** 2), energy * (t**2).sum()) + 1)]
+            out = np.zeros_like(t)
+            out[keep] = t[keep]
+            return out
+        u, s, v = np.linalg.svd(m, full_matrices=False)
+        k = int(np.searchsorted(np.cumsum(s**2), energy * (s**2).sum()) + 1)
+        return ((u[:, :k] * s[:k]) @ v[:k]).ravel()
+
+    return _per_layer(df, lambda models, b: b + np.mean([cut(m - b) for m in models], axis=0), base)
+
+
+def svd_knot_tying(df: DataFrame, base: DataFrame, columns: int = 0, rank: int | None = None) -> DataFrame:
+    """Distances whose left singular vectors are rotated onto the first model's (orthogonal Procrustes), averaged; vectors are averaged as they are."""
     def fn(models, b):
         stack = [_matrix(m - b, columns) for m in models]
-        _, _, v = np.linalg.svd(np.concatenate(stack), full_matrices=False)
-        return b + (np.mean([x @ v.T for x in stack], axis=0) @ v).ravel()
+        if stack[0] is None:
+            return models.mean(0)
+        parts, first = [np.linalg.svd(x, full_matrices=False) for x in stack], None
+        tied = []
+        for u, s, v in parts:
+            u, s, v = u[:, :rank], s[:rank], v[:rank]
+            if first is None:
+                first = u
+            else:
+                left, _, right = np.linalg.svd(u.T @ first)
+                u = u @ (left @ right)
+            tied.append((u * s) @ v)
+        return b + np.mean(tied, axis=0).ravel()
 
     return _per_layer(df, fn, base)
 
@@ -318,9 +339,10 @@ def weight_scope_alignment(df: DataFrame) -> DataFrame:
 def dual_projection(df: DataFrame, base: DataFrame, plasticity: float = 0.5, columns: int = 0, rank: int = 1) -> DataFrame:
     """Of each distance, the part within the base's main directions by ``plasticity``, the rest in full."""
     def fn(models, b):
-        _, _, v = np.linalg.svd(_matrix(b, columns), full_matrices=False)
+        width = columns if _matrix(b, columns) is not None else b.size
+        _, _, v = np.linalg.svd(b.reshape(-1, width), full_matrices=False)
         p = v[:rank].T @ v[:rank]
-        out = [(_matrix(m - b, columns) @ (np.eye(p.shape[0]) - (1 - plasticity) * p)).ravel() for m in models]
+        out = [((m - b).reshape(-1, width) @ (np.eye(width) - (1 - plasticity) * p)).ravel() for m in models]
         return b + np.mean(out, axis=0)
 
     return _per_layer(df, fn, base)
@@ -403,7 +425,7 @@ def representation_surgery(df: DataFrame, method: str = "center", columns: int =
     def fn(models, _):
         out, mean, dev = models.mean(0), models.mean(), np.sqrt(models.var(1).mean())
         if method == "whiten" and columns and out.size % columns == 0:
-            x = _matrix(out - out.mean(), columns)
+            x = (out - out.mean()).reshape(-1, columns)
             values, basis = np.linalg.eigh(np.cov(x.T) + TINY * np.eye(columns))
             out = (x @ basis / np.sqrt(np.maximum(values, TINY)) @ basis.T).ravel()
         if method in ("rescale", "whiten"):

@@ -65,6 +65,20 @@ def bloom_count(positions: DataFrame, m: int, k: int) -> DataFrame:
     return positions.agg((-(m / k) * F.log(1 - F.count("*") / m)).alias("estimate"))
 
 
+def sharded_bloom(df: DataFrame, item: str, shards: int, m: int, k: int) -> DataFrame:
+    """A filter of ``m`` bits for each shard of items: rows (shard, position); shards grow and are read apart."""
+    shard = F.pmod(F.xxhash64(F.col(item).cast("string"), F.lit(3)), F.lit(shards))
+    return df.select(shard.alias("shard"), F.explode(bloom_positions(F.col(item), m, k)).alias("position")).distinct()
+
+
+def sharded_contains(df: DataFrame, item: str, positions: DataFrame, shards: int, m: int, k: int) -> DataFrame:
+    """``df`` with maybe, as ``bloom_contains``."""
+    shard = F.pmod(F.xxhash64(F.col(item).cast("string"), F.lit(3)), F.lit(shards))
+    at = df.select(F.col(item)).distinct().select(item, shard.alias("shard"), F.explode(bloom_positions(F.col(item), m, k)).alias("position"))
+    hit = at.join(positions.withColumn("hit", F.lit(1)), ["shard", "position"], "left").groupBy(item).agg((F.count("hit") == F.count("*")).alias("maybe"))
+    return df.join(hit, item, "left")
+
+
 # --- frequencies: a count-min table of cells ---
 
 

@@ -118,7 +118,12 @@ def gossip_merge(states: DataFrame, mode: str = "causal") -> DataFrame:
     elif mode == "causal":
         # An entry is dominated if another of its key has at least its count for every node and more for one:
         # with the sum of counts as height, such another is higher.  Only the distinct clocks of a key meet.
-        clocks = states.select("key", "clock", F.to_json("clock").alias("c")).dropDuplicates(["key", "c"])
+        # Where one has seen all that any has, the others are under it; only other keys' clocks meet.
+        full = lambda clock, of: F.forall(F.map_entries(of), lambda e: F.coalesce(F.try_element_at(clock, e["key"]), F.lit(0)) >= e["value"])
+        states = states.join(merged, "key").withColumn("top", full(F.col("clock"), F.col("merged"))).drop("merged")
+        topped = states.where("top").select("key").distinct().withColumn("topped", F.lit(True))
+        states = states.join(topped, "key", "left").where("topped IS NULL OR top").drop("top")
+        clocks = states.where("topped IS NULL").select("key", "clock", F.to_json("clock").alias("c")).dropDuplicates(["key", "c"])
         pairs = clocks.alias("x").join(clocks.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))).where(clock_compare(F.col("x.clock"), F.col("y.clock")) == "before")
         under = pairs.select(F.col("x.key").alias("key"), F.col("x.c").alias("c")).distinct()
         best = states.withColumn("c", F.to_json("clock")).join(under, ["key", "c"], "left_anti").groupBy("key").agg(F.max_by(F.struct("value", "tombstone"), rank).alias("best"))

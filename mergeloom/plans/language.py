@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strategies import MergeSchema, register_strategy, strategy
-from ..operators.merge import merge_many
+from ..operators.merge import merge_many, provenance
 
 _TOKEN = re.compile(r"""\s*(?:(?P<text>'(?:[^']|'')*'|"(?:[^"]|"")*")|(?P<op><=|>=|<>|!=|->|[=<>(),:;])|(?P<word>[^\s,()'"=<>!:;]+))""")
 _CLAUSES = ("STRATEGY", "WHERE", "HAVING", "MAP", "LIMIT")
@@ -295,6 +295,29 @@ class MergeLanguage:
             out = out.orderBy(*st.keys).limit(st.limit)
         return out.withColumnsRenamed(st.renames)
 
+    def conflicts(self, text: str) -> DataFrame:
+        """Rows (field, conflicts) for a statement: in how many keys a column has several values after WHERE."""
+        st = parse(text)
+        self._build(st)
+        frames = [self._source(s) for s in st.sources]
+        if st.where is not None:
+            lacking = [f.withColumns({c: F.lit(None).cast("string") for c in st.where_columns if c not in f.columns}) for f in frames]
+            frames = [w.where(st.where()).select(f.columns) for w, f in zip(lacking, frames, strict=True)]
+        rows = frames[0]
+        for f in frames[1:]:
+            rows = rows.unionByName(f, allowMissingColumns=True)
+        fields = [c for c in rows.columns if c not in st.keys]
+        per = rows.groupBy(*st.keys).agg(*((F.min(c) < F.max(c)).alias(c) for c in fields))
+        counted = per.agg(*(F.count_if(F.col(c)).alias(c) for c in fields))
+        return counted.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("conflicts")) for c in fields))).alias("x")).select("x.*")
+
+    def provenance(self, text: str) -> DataFrame:
+        """The provenance log of a statement over two sources, by its strategies."""
+        st = parse(text)
+        if len(st.sources) != 2:
+            raise LanguageError("provenance is of two sources")
+        return provenance(*(self._source(s) for s in st.sources), st.keys, {c: strategy(s) for c, s in st.strategies.items()})
+
     def explain(self, text: str) -> str:
         """Sources, keys, strategies and Spark's plan."""
         st = parse(text)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,23 +29,9 @@ def upsert_stream(stream: DataFrame, store: MergeStore, checkpoint: str, once: b
 
 
 def latest_by_key(stream: DataFrame, key: str, value: str, ts: str) -> DataFrame:
-    """The latest value of each key as keyed state of the stream itself, for update mode: (key, value, ts).
-
-    State holds one value a key; of the same time the greater one stays.
-    """
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        for pdf in batches:
-            for v, t in zip(pdf["value"], pdf["ts"], strict=True):
-                if best is None or (t, v) > (best[1], best[0]):
-                    best = (v, t)
-        if best is not None:
-            state.update(best)
-            yield pd.DataFrame({"key": [k[0]], "value": [best[0]], "ts": [best[1]]})
-
-    kinds = dict(stream.dtypes)
-    rows = stream.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(ts).cast("double").alias("ts"))
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kinds[key]}, value {kinds[value]}, ts double", f"value {kinds[value]}, ts double", "update", "NoTimeout")
+    """The latest value of each key of a stream, for update mode: (key, value, ts); of the same time the greater one stays."""
+    best = F.max(F.struct(F.col(ts).cast("double").alias("ts"), F.col(value).alias("value"))).alias("best")
+    return stream.groupBy(F.col(key).alias("key")).agg(best).select("key", "best.value", "best.ts")
 
 
 def distinct_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
@@ -60,15 +45,32 @@ def merge_streams(a: DataFrame, b: DataFrame, key: str | Sequence[str], schema:
 
 
 def unsorted(df: DataFrame, keys: Sequence[str], position: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rows that come after one with a greater key."""
-    keys = as_list(keys)
-    before = F.lag(F.struct(*keys)).over(Window.partitionBy(*group).orderBy(position))
-    return df.withColumn("__before", before).where(F.col("__before") > F.struct(*keys)).drop("__before")
+    """Rows that come after one with a greater key, in their group.
 
-
-def merge_sorted(a: DataFrame, b: DataFrame, key: str | Sequence[str], schema: Schema = None, timestamp_col: str | None = None) -> DataFrame:
-    """Two sorted sources as one in order of key: a sort-merge join, repeated keys paired one to one."""
+    Without a group rows are compared within ranges of ``position``, and the first
+    of a range with the last of those before it: a row a range meets in one place.
+    """
+    keys, names = as_list(keys), df.columns
+    if group:
+        before = F.lag(F.struct(*keys)).over(Window.partitionBy(*group).orderBy(position))
+        return df.withColumn("__before", before).where(F.col("__before") > F.struct(*keys)).drop("__before")
+    parts = df.repartitionByRange(position).withColumn("__part", F.spark_partition_id())
+    lasts = parts.groupBy("__part").agg(F.max_by(F.struct(*keys), F.col(position)).alias("__last"))
+    lasts = lasts.withColumn("__last", F.lag("__last").over(Window.orderBy("__part")))
+    within = parts.withColumn("__before", F.lag(F.struct(*keys)).over(Window.partitionBy("__part").orderBy(position)))
+    return within.join(F.broadcast(lasts), "__part").where(F.coalesce("__before", "__last") > F.struct(*keys)).select(names)
+
+
+def merge_sorted(a: DataFrame, b: DataFrame, key: str | Sequence[str], schema: Schema = None, timestamp_col: str | None = None, position: str | None = None) -> DataFrame:
+    """Two sorted sources as one in order of key: a sort-merge join, repeated keys paired one to one.
+
+    With ``position``, a column that tells the order of rows, a source that isn't
+    in order of key is an error (ValueError), found by reading both beforehand.
+    """
     keys = as_list(key)
+    for side, df in (("first", a), ("second", b)):
+        if position is not None and not unsorted(df, keys, position).isEmpty():
+            raise ValueError(f"the {side} source is not in order of {', '.join(keys)}")
     number = lambda df: df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c) for c in df.columns if c not in keys))))
     out = merge(number(a), number(b), [*keys, "__nth"], timestamp_col, schema=MergeSchema.of(schema), on_duplicate="unique")
     return out.orderBy(*keys).drop("__nth")

@@ -247,3 +247,61 @@ def test_adapters_and_stages(spark, rows):
     assert out["c"].count() == 1
     with pytest.raises(ValueError, match="wait for"):
         model.run_stages({}, {"a": (["b"], None), "b": (["a"], None)})
+
+
+def test_model_values(spark, rows):
+    """Strategies against the same computed with numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    w, b = rng.normal(size=(3, 12)), rng.normal(size=12)
+    df = spark.createDataFrame([(f"m{i}", "L", p, float(w[i, p])) for i in range(3) for p in range(12)], "model_id string, layer string, pos int, w double")
+    base = spark.createDataFrame([("L", p, float(b[p])) for p in range(12)], "layer string, pos int, w double")
+    got = lambda out: np.array([x for _, x in sorted((r.pos, r.w) for r in out.collect())])
+    taus = w - b
+
+    def star(t, fraction=0.5):
+        u, s, v = np.linalg.svd(t.reshape(3, 4), full_matrices=False)
+        k = max(1, int(len(s) * fraction))
+        return ((u[:, :k] * s[:k]) @ v[:k]).ravel() * np.sqrt((s**2).sum() / (s[:k] ** 2).sum())
+
+    assert np.allclose(got(model.star(df, base, columns=4)), b + np.mean([star(t) for t in taus], axis=0))
+    largest = lambda t: np.where(np.abs(t) >= np.sort(np.abs(t))[-6], t, 0)
+    assert np.allclose(got(model.star(df, base)), b + np.mean([largest(t) * np.linalg.norm(t) / np.linalg.norm(largest(t)) for t in taus], axis=0))
+    parts = [np.linalg.svd(t.reshape(3, 4), full_matrices=False) for t in taus]
+    tied = []
+    for u, s, v in parts:
+        x, _, y = np.linalg.svd(u.T @ parts[0][0])
+        tied.append(u @ x @ y @ np.diag(s) @ v)
+    tied_ = got(model.svd_knot_tying(df, base, columns=4))
+    assert np.allclose(tied_, b + np.mean(tied, axis=0).ravel()) and not np.allclose(tied_, w.mean(0))
+    assert np.allclose(got(model.svd_knot_tying(df, base)), w.mean(0))
+    one = df.where("model_id = 'm0'")
+    full, half = got(model.adarank(one, base, 1.0)), got(model.adarank(one, base, 0.5))
+    assert np.allclose(full, w[0]) and 0.5 <= ((half - b) ** 2).sum() / (taus[0] ** 2).sum() < 1
+    kept = got(model.dare(one, base, 0.5)) - b
+    assert all(np.isclose(k, 0) or np.isclose(k, 2 * t) for k, t in zip(kept, taus[0], strict=True))
+    assert np.allclose(got(model.dare(one, base, 0.0)), w[0]) and np.allclose(got(model.della(one, base, 0.0, 0.0)), w[0])
+    trimmed = got(model.dare_ties(one, base, 0.0, 0.5)) - b
+    assert sorted(np.flatnonzero(trimmed)) == sorted(np.argsort(-np.abs(taus[0]))[:6]) and np.allclose(trimmed[trimmed != 0], taus[0][trimmed != 0])
+    for fn in (model.ada_merging, model.dam, model.evolutionary, model.genetic):
+        share = np.linalg.lstsq(w.T, got(fn(df)), rcond=None)[0]
+        assert np.allclose(share @ w, got(fn(df))) and np.isclose(share.sum(), 1) and (share > -1e-9).all()
+    assert np.allclose(got(model.fisher(df)), (w**3).sum(0) / (w**2).sum(0))
+
+
+def test_gossip_without_one_that_saw_all(spark):
+    g = spark.createDataFrame([("k", "a", {"n": 3}, False), ("k", "z", {"n": 2}, False), ("k", "b", {"m": 3}, False), ("k", "c", {"n": 2, "m": 2}, False), ("j", "z", {"n": 1}, False), ("j", "a", {"n": 2, "m": 1}, True)], "key string, value string, clock map<string,bigint>, tombstone boolean")
+    assert sorted((r.key, r.value, r.tombstone) for r in state.gossip_merge(g).collect()) == [("j", "a", True), ("k", "c", False)]
+
+
+def test_order_of_rows(spark):
+    from mergeloom.streaming import merge as streams
+
+    a = spark.createDataFrame([(i, i // 2, "x") for i in range(40)], "at long, k long, v string").repartition(5)
+    b = a.withColumn("k", F.when(F.col("at") == 20, 3).otherwise(F.col("k")))
+    assert streams.unsorted(a, "k", "at").count() == 0
+    assert [r["at"] for r in streams.unsorted(b, "k", "at").collect()] == [20]
+    assert streams.merge_sorted(a, a, "k", position="at").count() == 40
+    with pytest.raises(ValueError, match="second source"):
+        streams.merge_sorted(a, b, "k", position="at")

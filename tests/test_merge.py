@@ -4,6 +4,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from mergeloom.functions.strategies import Concat, Custom, LWW, LongestWins, MaxWins, MergeSchema, MinWins, Priority, UnionSet, strategy
 from mergeloom.operators import laws
 from mergeloom.operators import merge as m
@@ -145,3 +148,23 @@ def test_plan_has_one_join_and_no_python(spark):
     a, b = frame(spark, [(1, "x", 5, 1.0)]), frame(spark, [(1, "a", 9, 2.0)])
     plan = m.merge(a, b, "id", schema={"name": "longest"}, on_duplicate="unique", null_keys="drop")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Window" not in plan and plan.count("SortMergeJoin") <= 1
+
+
+def test_python_text(spark):
+    from mergeloom.functions.values import python_text
+
+    values = [0.0, -0.0, 1.0, 0.001, 0.0001, 0.00012345, -0.0005, 1e-5, 1.5e-07, -2.5e-10, 1e7, 12345678.5, 1e15, 123456789012345.6, 1e16, -1.25e16, 1.7976931348623157e308, 5e-324, 1e100, 3.14, float("inf"), float("-inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = {r.i: r.t for r in df.select("i", python_text(F.col("v"), T.DoubleType()).alias("t")).collect()}
+    assert got == {i: str(v) for i, v in enumerate(values)}
+
+
+def test_nested_cells(spark):
+    kind = "id long, ts double, doc struct<a: long, b: string, inner: struct<c: long>>, items array<long>, rows array<struct<p: long, q: long>>"
+    a = spark.createDataFrame([(1, 1.0, (1, "x", (5,)), [1, 9, 3], [(1, 2)])], kind)
+    b = spark.createDataFrame([(1, 2.0, (2, None, (4,)), [4, 2], [(3, 1), (7, 7)])], kind)
+    row = m.merge(a, b, "id", "ts", schema={"c": "min", "items": "max", "q": "min"}).first()
+    assert (row.doc.a, row.doc.b, row.doc.inner.c) == (2, "x", 4)
+    assert row["items"] == [4, 9, 3] and [tuple(r) for r in row.rows] == [(3, 1), (7, 7)]
+    whole = m.merge(a, b, "id", "ts", schema={"doc": "lww"}).first()
+    assert tuple(whole.doc)[:2] == (2, None)
