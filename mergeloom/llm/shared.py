@@ -7,37 +7,22 @@ writes files of new names: only names that reach a committed table are read.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used, and set, only where the session names no shared folder (tests, laptops).
-FALLBACK_DIR = "/tmp/checkpoints"
-
+from ..session import shared_dir
+from ..session import ship as ship_code
 
 #: Rows of an Arrow batch at most: texts may be long, and a batch is held whole on both sides.
 BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, and keep their batches small."""
+    """Let Python workers import this package, and keep their batches small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in (have := env.get("PYTHONPATH", "")).split(":"):
-        env["PYTHONPATH"] = f"{have}:{root}" if have else root
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as a URI."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{FALLBACK_DIR}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/") if "://" in at or not at.startswith("/") else f"file://{at.rstrip('/')}"
+    ship_code(spark)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
