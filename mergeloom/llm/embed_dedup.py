@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by tiled comparison along principal axes.
 
 Unit vectors are turned to their principal axes, those of most energy first, and
-cut into tiles in the order of the first.  Two tiles are compared only if their
-boxes on the leading axes come near enough.  Within a pair of tiles the leading
+cut into tiles in the order of the first.  Tasks compare two groups of neighbouring
+tiles, and of these two tiles only if their boxes on the leading axes come near enough.  Within a pair of tiles the leading
 coordinates are multiplied first; the rest of a product is at most the product of
 the suffix norms (Cauchy-Schwarz), so one more coordinate, the suffix norm, makes
 the matrix product itself the upper bound.  Pairs below the threshold stop there;
@@ -26,6 +26,8 @@ from .shared import materialize, ship, workspace
 
 #: Vectors in a tile; rows of a tile multiplied at once; coordinates in the first product; axes of a tile's box.
 TILE, STRIP, LEAD, BOX = 4096, 1024, 16, 8
+#: Bytes of a group's vectors at most, but for a group of one tile; tasks for each core.
+GROUP_BYTES, TASKS = 32 << 20, 2
 #: More than the rounding of a single-precision product of unit vectors.
 SLACK = 1e-5
 
@@ -133,38 +135,45 @@ def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, threshold: float, sa
     return np.concatenate([none, *rows]), np.concatenate([none, *cols])
 
 
-def _compare(d: int, basis: np.ndarray, kind: str, threshold: float):
+def _compare(d: int, basis: np.ndarray, kind: str, threshold: float, reach: float):
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("side").to_numpy())
-        sides = [{c: table.column(c)[int(i)].as_py() for c in ("ids", "copies", "raw")} for i in order]
-        ids = [np.frombuffer(s["ids"], "<i8") for s in sides]
-        copies = [np.frombuffer(s["copies"], "<i8") for s in sides]
-        unit = [units(np.frombuffer(s["raw"], kind).reshape(-1, d)) for s in sides]
-        same = len(sides) == 1
-        r, c = linked(unit[0], unit[-1], basis, threshold, same)
-        if not len(r):
-            return schema.empty_table()
-        counts = [np.bincount(r, copies[-1][c], len(ids[0])), np.bincount(c, copies[0][r], len(ids[-1]))]
-        both = ids[0] if same else np.concatenate(ids)
-        links = counts[0] + counts[1] if same else np.concatenate(counts)
-        nodes, root = forest(both, r, c if same else c + len(ids[0]))
-        found = dict(zip(nodes.tolist(), root.tolist(), strict=True))
-        at = np.flatnonzero(links)
-        return pa.table([pa.array(both[at]), pa.array(links[at].astype(np.int64)), pa.array([found[i] for i in both[at].tolist()], pa.int64())], schema=schema)
+        order = np.argsort(table.column("tile").to_numpy(), kind="stable")
+        tiles = [{c: table.column(c)[int(i)].as_py() for c in ("ids", "copies", "raw", "side", "low", "high")} for i in order]
+        for t in tiles:
+            t["ids"], t["copies"] = (np.frombuffer(t[c], "<i8") for c in ("ids", "copies"))
+            t["unit"] = units(np.frombuffer(t.pop("raw"), kind).reshape(-1, d))
+        alone, out = not any(t["side"] for t in tiles), []
+        for i, x in enumerate(tiles):
+            for y in tiles[i:] if alone else [t for t in tiles if t["side"] > x["side"]]:
+                same = x is y
+                gap = np.maximum(0, np.maximum(np.array(x["low"]) - y["high"], np.array(y["low"]) - x["high"]))
+                if gap @ gap > reach * reach + SLACK:
+                    continue
+                r, c = linked(x["unit"], y["unit"], basis, threshold, same)
+                if not len(r):
+                    continue
+                counts = [np.bincount(r, y["copies"][c], len(x["ids"])), np.bincount(c, x["copies"][r], len(y["ids"]))]
+                both = x["ids"] if same else np.concatenate([x["ids"], y["ids"]])
+                links = counts[0] + counts[1] if same else np.concatenate(counts)
+                nodes, root = forest(both, r, c if same else c + len(x["ids"]))
+                found = dict(zip(nodes.tolist(), root.tolist(), strict=True))
+                at = np.flatnonzero(links)
+                out.append(pa.table([pa.array(both[at]), pa.array(links[at].astype(np.int64)), pa.array([found[i] for i in both[at].tolist()], pa.int64())], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run, "node long, links long, root long"
 
 
-def _pairs(stats: DataFrame, reach: float) -> DataFrame:
-    """Pairs (i, j), i <= j, of tiles whose boxes are no further apart than ``reach``; found over cells of the first axis."""
+def _groups(stats: DataFrame, reach: float) -> DataFrame:
+    """Pairs (i, j), i <= j, of groups of tiles of which some two boxes are no further apart than ``reach``; found over cells of the first axis."""
     cell = lambda x: F.floor(x / reach)
-    left = stats.select(F.col("tile").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("cell"))
-    right = stats.select(F.col("tile").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
+    left = stats.select(F.col("group").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"), F.explode(F.sequence(cell(F.col("low")[0]) - 1, cell(F.col("high")[0]) + 1)).alias("cell"))
+    right = stats.select(F.col("group").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"), F.explode(F.sequence(cell(F.col("low")[0]), cell(F.col("high")[0]))).alias("cell"))
     gaps = F.zip_with(F.zip_with("low_i", "high_j", lambda a, b: a - b), F.zip_with("low_j", "high_i", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g) <= reach * reach + SLACK
-    return left.join(right, "cell").where((F.col("i") <= F.col("j")) & near).select("i", "j").distinct()
+    return left.join(right, "cell").where(near).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, tile: int = TILE) -> DataFrame:
@@ -195,10 +204,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         run, schema = _pack(d, basis, kind, tile)
         packed = led.repartitionByRange(-(-r["count"] // tile), "lead").sortWithinPartitions("lead").mapInArrow(run, schema)
         tiles = materialize(packed.withColumn("tile", F.monotonically_increasing_id()), f"{at}/tiles-{d}")
-        pairs = materialize(_pairs(tiles.select("tile", "low", "high"), float(np.sqrt(max(2 - 2 * threshold, 1e-6)))), f"{at}/pairs-{d}")
-        body = tiles.select("tile", "ids", "copies", "raw")
-        sides = body.join(pairs, F.col("tile") == F.col("i")).withColumn("side", F.lit(0)).unionByName(body.join(pairs.where("i < j"), F.col("tile") == F.col("j")).withColumn("side", F.lit(1)))
-        run, schema = _compare(d, basis, kind, threshold)
+        reach = float(np.sqrt(max(2 - 2 * threshold, 1e-6)))
+        # Tasks compare groups of tiles that lie side by side, so that a tile is sent once for each group, not for each tile.
+        n, tasks = -(-r["count"] // tile), TASKS * spark.sparkContext.defaultParallelism
+        size = max(1, min(-(-n // int(np.ceil(np.sqrt(2 * tasks)))), GROUP_BYTES // (tile * d * np.dtype(kind).itemsize)))
+        tiles = tiles.withColumn("group", F.floor(F.shiftright("tile", 33) / size))
+        pairs = materialize(_groups(tiles.select("group", "low", "high"), reach), f"{at}/pairs-{d}")
+        body = tiles.select("group", "tile", "ids", "copies", "raw", "low", "high")
+        sides = body.join(pairs, F.col("group") == F.col("i")).withColumn("side", F.lit(0)).unionByName(body.join(pairs.where("i < j"), F.col("group") == F.col("j")).withColumn("side", F.lit(1)))
+        run, schema = _compare(d, basis, kind, threshold, reach)
         compared.append(materialize(sides.groupBy("i", "j").applyInArrow(run, schema), f"{at}/links-{d}"))
     links = compared[0] if compared else spark.createDataFrame([], "node long, links long, root long")
     for more in compared[1:]:

@@ -145,6 +145,13 @@ def test_vectors_are_those_of_brute_force(spark, d, kind, tile):
     check_vectors(spark, vectors(d, 220, d), 0.95, kind, tile=tile)
 
 
+@pytest.mark.parametrize("size", [1, 2, 1000])
+def test_groups_of_tiles(spark, monkeypatch, size):
+    monkeypatch.setattr(embed_dedup, "GROUP_BYTES", size * 16 * 8 * 8)
+    monkeypatch.setattr(embed_dedup, "TASKS", 1)
+    check_vectors(spark, vectors(7, 150, 8), 0.95, tile=16)
+
+
 def test_defined_results_for_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     check_vectors(spark, [None, [], [0.0, 0.0], [1.0, 0.0], [2.0, 0.0], [1e200, 0.0], [1e-200, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [1.0, 0.0, 0.0], [1.0], [-1.0], [1.0, 0.3], [1.0, 0.0]], 0.95)
