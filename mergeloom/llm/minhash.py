@@ -10,21 +10,27 @@ frequent lines and passages, which are the commonest values, make no list unless
 they are most of a document.
 
 Pairs are never written out.  Documents that meet in a list, directly or over
-others, form a cluster; every document's full set goes once to its cluster, which
-is cut into blocks, and a task compares two blocks: overlaps of sketches, then
-the estimate from the union's bottom k, then exact intersections of full sets.
-A task returns a spanning forest of the links it confirmed.
+others, form a cluster; a cluster is cut into blocks, and a task compares two
+blocks: overlaps of sketches, then the estimate from the union's bottom k, then
+exact intersections of full sets.  A task returns a spanning forest of the links
+it confirmed.
+
+Clusters of more than a block meet hubs first: the documents whose sketch values
+are the commonest, that is the middle of a group of near copies, are compared with
+all others of the cluster, round by round, until a round links few.  What hubs link
+is one class already, so pairs within a class, and lists of one class alone, need
+no comparison: a group of near copies costs work in proportion to its size.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -35,6 +41,8 @@ from .textbytes import blocks, hash_runs, mix, runs, weights
 MISS = 1e-9
 #: A block of a cluster holds about so many documents and shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
+#: Hubs of a cluster in a round; rounds go on while each links so large a part of what is left.
+HUBS, PROGRESS = 16, 1 / 8
 
 
 @lru_cache(maxsize=64)
@@ -107,14 +115,14 @@ def _sketches(k: int, percent: int, words: int):
 
 
 def _sets(words: int):
-    schema = pa.schema([("cluster", pa.int64()), ("parts", pa.int64()), ("id", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(3), words)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(pa.int64()) for c in range(3)), pa.array(sets, pa.binary())], schema=schema)
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
-    return run, "cluster long, parts long, id long, shingles binary"
+    return run, "id long, shingles binary"
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -203,6 +211,59 @@ def _compare(k: int, percent: int):
     return run, "a long, b long"
 
 
+def _parts() -> Column:
+    """Blocks that rows of a group with a column n need."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts")
+
+
+def _clusters(lists: DataFrame, nodes: DataFrame, at: str) -> DataFrame:
+    """Rows (id, n, score, cluster, parts): nodes that meet in lists, directly or over others."""
+    heads = materialize(lists.groupBy("value").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last"), f"{at}/heads")
+    found = connected_components(lists.join(heads, "value").where("id != head").select("id", "head"), "id", "head")
+    sized = found.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(nodes, "id")
+    return materialize(sized.join(sized.groupBy("cluster").agg(_parts()), "cluster").select("id", "n", "score", "cluster", "parts"), f"{at}/members")
+
+
+def _hub_links(large: DataFrame, sets: DataFrame, k: int, percent: int, at: str) -> list[DataFrame]:
+    """Links (a, b) of the hubs of each round with the rest of their clusters."""
+    run, schema = _compare(k, percent)
+    rounds, left, n = [], large, large.count()
+    while n:
+        here = f"{at}/hubs-{len(rounds)}"
+        # Only the first few of each task's rows of a cluster are shuffled for the ranks.
+        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "id")))
+        hubs = ranked.where(F.col("rank") <= HUBS).select("id", "cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+        columns = "cluster", "i", F.lit(-1).alias("j")
+        those = sets.join(hubs, "id").select(*columns, F.lit(1).alias("side"), "id", "shingles")
+        all_of_them = sets.join(left, "id").withColumn("i", F.expr("pmod(xxhash64(id), parts)")).select(*columns, F.lit(0).alias("side"), "id", "shingles")
+        links = materialize(all_of_them.unionByName(those).groupBy("cluster", "i", "j").applyInArrow(run, schema), f"{here}/links")
+        rounds.append(links)
+        touched = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+        rest = materialize(left.drop("parts").join(touched, "id", "left_anti"), f"{here}/rest")
+        # What is left of a cluster and fits a block is left to the blocks.
+        left = materialize(rest.join(rest.groupBy("cluster").agg(_parts()).where("parts > 1"), "cluster"), f"{here}/left")
+        before, n = n, left.count()
+        if before - rest.count() < PROGRESS * before:
+            break
+    return rounds
+
+
+def _dealt(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (cluster, i, j, side, id, shingles): every two blocks of a cluster, but those of one class."""
+    # Classes of more than a block have blocks of their own, the others share some.
+    large = members.groupBy("cluster", "class").agg(F.count("*").alias("count")).where(F.col("count") > BLOCK_DOCS).select("cluster", "class", F.lit(True).alias("own"))
+    grouped = members.join(large, ["cluster", "class"], "left").withColumn("group", F.when(F.col("own"), F.col("class")))
+    blocks = grouped.groupBy("cluster", "group").agg(_parts())
+    before = Window.partitionBy("cluster").orderBy(F.asc_nulls_first("group"))
+    blocks = blocks.withColumn("first", F.sum("parts").over(before) - F.col("parts")).withColumn("of", F.sum("parts").over(Window.partitionBy("cluster")))
+    placed = grouped.alias("m").join(blocks.alias("b"), (F.col("m.cluster") == F.col("b.cluster")) & F.col("m.group").eqNullSafe(F.col("b.group")))
+    placed = placed.select("m.id", "m.cluster", "m.own", "b.first", "b.of", "b.parts", (F.col("b.first") + F.expr("pmod(xxhash64(m.id), b.parts)")).alias("mine"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda x: F.col("own").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("parts")))
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"), F.when(F.col("mine") > x, 1).otherwise(0).alias("side")))
+    wanted = placed.select("id", "cluster", pairs.alias("pairs")).where(F.size("pairs") > 0)
+    return sets.join(wanted, "id").select("cluster", "id", "shingles", F.explode("pairs").alias("p")).select("cluster", "p.i", "p.j", "p.side", "id", "shingles")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, k: int = 64) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept), one for each row of ``docs``.
 
@@ -233,21 +294,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rarest = posts.join(common, "value").groupBy("id").agg(F.max("prefix").alias("prefix"), F.max("m").alias("m"), F.array_sort(F.collect_list(F.struct("count", "value"))).alias("found"))
     # The values of one list alone are the rarest, and use up the prefix first.
     room = F.greatest(F.lit(0), F.col("prefix") - (F.col("m") - F.size("found")))
-    lists = materialize(rarest.select("id", F.explode(F.slice("found", 1, room)).alias("f")).select("id", F.col("f.value").alias("value")), f"{at}/lists")
-    heads = materialize(lists.groupBy("value").agg(F.min("id").alias("head"), F.count("*").alias("count")).where("count > 1").drop("count"), f"{at}/heads")
-    clusters = connected_components(lists.join(heads, "value").where("id != head").select("id", "head"), "id", "head")
+    score = F.aggregate("found", F.lit(0).cast("long"), lambda total, f: total + f["count"])
+    lists = materialize(rarest.select("id", score.alias("score"), F.explode(F.slice("found", 1, room)).alias("f")).select("id", "score", F.col("f.value").alias("value")), f"{at}/lists")
+    known = nodes.select("id", "n").join(lists.groupBy("id").agg(F.max("score").alias("score")), "id")
+    members = _clusters(lists, known, f"{at}/clusters")
 
-    sized = clusters.join(nodes.select(F.col("id").alias("node"), "n"), "node")
-    parts = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    members = clusters.join(parts, "component").select(F.col("node").alias("id"), F.col("component").alias("cluster"), "parts")
     run, schema = _sets(words)
-    sets = members.join(texts, "id").select("cluster", "parts", "id", "text").mapInArrow(run, schema)
-    mine = F.expr("pmod(xxhash64(id), parts)")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j"), F.when(mine > x, 1).otherwise(0).alias("side")))
+    sets = materialize(texts.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(run, schema), f"{at}/sets")
+    rounds = _hub_links(members.where("parts > 1"), sets, k, percent, at)
+    blocks = members.where("parts <= 1").select("id", "n", "cluster", F.col("id").alias("class"))
+    if rounds:
+        hubbed = connected_components(reduce(DataFrame.unionByName, rounds))
+        classed = members.where("parts > 1").select("id").distinct().join(hubbed.select(F.col("node").alias("id"), "component"), "id", "left")
+        classed = materialize(classed.select("id", F.coalesce("component", "id").alias("class")), f"{at}/classed")
+        posted = materialize(lists.join(classed, "id"), f"{at}/posted")
+        mixed = materialize(posted.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("value"), f"{at}/mixed")
+        between = _clusters(posted.join(mixed, "value", "left_semi"), known, f"{at}/between").join(classed, "id")
+        blocks = blocks.unionByName(between.select("id", "n", "cluster", "class"))
+    blocks = materialize(blocks, f"{at}/blocks")
     run, schema = _compare(k, percent)
-    dealt = sets.select("cluster", "id", "shingles", F.explode(pairs).alias("p")).select("cluster", "p.i", "p.j", "p.side", "id", "shingles")
-    links = materialize(dealt.groupBy("cluster", "i", "j").applyInArrow(run, schema), f"{at}/links")
+    links = materialize(_dealt(blocks, sets).groupBy("cluster", "i", "j").applyInArrow(run, schema), f"{at}/links")
 
+    links = reduce(DataFrame.unionByName, rounds, links)
     found = connected_components(links)
     class_of = classes.join(found, "node", "left").select("digest", F.least(F.coalesce("component", "node"), "node").alias("component"))
     labelled = sketches.join(class_of, "digest", "left")

@@ -78,6 +78,42 @@ def test_a_large_group_is_split_into_blocks(spark, monkeypatch):
     check(spark, texts + texts[:5], 85)
 
 
+def near_copies(seed, n, tag="t", edits=(1, 2, 3)):
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        w = [f"{tag}{i}" for i in range(80)]
+        for i in rng.sample(range(80), rng.choice(edits)):
+            w[i] = f"u{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_hubs_and_blocks_find_chains_and_groups_that_share_lines(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(minhash, "HUBS", 2)
+    texts = near_copies(3, 60) + near_copies(4, 40, "s", (1, 4, 6))
+    # Both groups and a chain, of which neighbours only are near, share values with the first.
+    chain, words = [], [f"t{i}" for i in range(80)]
+    for step in range(0, 60, 2):
+        words[step : step + 2] = [f"c{step}", f"d{step}"]
+        chain.append(" ".join(words))
+    check(spark, texts + chain + [" ".join([t, s]) for t, s in zip(near_copies(5, 10), near_copies(6, 10, "s"), strict=True)], 85, 32)
+
+
+def test_a_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+    dealt, plain = [], minhash._dealt
+
+    def counted(*args):
+        out = plain(*args)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", counted)
+    check(spark, [" ".join(f"t{i}" for i in range(80)), *near_copies(8, 250, edits=(1,))], 80)
+    assert dealt[0] < 251
+
+
 def test_repeats_nulls_extra_and_empty(spark, rows):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (5, "a b c d e f", None)], "doc_id long, text string, sketch string")
     out = minhash.near_duplicates(df.withColumn("component_id", F.lit(9)).withColumn("id", F.lit(3)))
