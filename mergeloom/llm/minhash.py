@@ -19,7 +19,8 @@ Clusters of more than a block meet hubs first: the documents whose sketch values
 are the commonest, that is the middle of a group of near copies, are compared with
 all others of the cluster, round by round, until a round links few.  What hubs link
 is one class already, so pairs within a class, and lists of one class alone, need
-no comparison: a group of near copies costs work in proportion to its size.
+no comparison: near copies that link with a hub cost work in proportion to their
+number.  Texts that share values but link with no hub are compared block by block.
 """
 
 from __future__ import annotations
