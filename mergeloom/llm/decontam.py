@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = None
     for k in range(n_parts):
         part = parts.where(F.expr(f"pmod(xxhash64(item), {n_parts}) = {k}"))
-        found = _held(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL"), part, vocabulary, least_share)
+        found = _held(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL"), part, vocabulary, least_share, f"{at}/hits-{k}")
         held = found if held is None else held.unionByName(found)
     return held.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_id if item_id != id_col else "item_id"), (F.col("n") / F.col("of")).alias("share"), "best.n_slots", "best.n_changed",
@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def _held(docs: DataFrame, parts: DataFrame, vocabulary: list[str], least_share: float) -> DataFrame:
+def _held(docs: DataFrame, parts: DataFrame, vocabulary: list[str], least_share: float, at: str) -> DataFrame:
     """Rows (doc, item, n, of, best) of docs(doc, text) that hold ``least_share`` of an item's windows ``of``."""
     sizes: dict[int, tuple[set, set]] = {}
     for r in parts.select("size", "first", "hash").distinct().collect():  # some ``PART_WINDOWS``
@@ -176,7 +176,8 @@ def _held(docs: DataFrame, parts: DataFrame, vocabulary: list[str], least_share:
         firsts.add(r["first"])
         hashes.add(r["hash"])
     hits = [_hits(size, sorted(firsts), sorted(hashes)) for size, (firsts, hashes) in sorted(sizes.items())] or [_hits(WINDOW, [0], [0])]
-    placed = docs.select("doc", F.explode(template("text", vocabulary, f"concat({', '.join(hits)})")).alias("h")).select("doc", "h.*")
+    # Written, so that the driver goes over thousands of literals once, not with every step below.
+    placed = materialize(docs.select("doc", F.explode(template("text", vocabulary, f"concat({', '.join(hits)})")).alias("h")).select("doc", "h.*"), at)
     total = parts.groupBy("item").agg(F.count_distinct("item_at").alias("of"))
     met = placed.join(F.broadcast(parts.drop("first")), ["hash", "size"]).withColumn("offset", F.col("at") - F.col("item_at"))
     met = met.withColumn("pairs", F.expr("transform(filter(transform(run, (w, i) -> named_struct('item', w, 'doc', get(stands, i), 'slot', get(slots, i))), p -> p.slot), p -> named_struct('item', p.item, 'doc', p.doc))"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mergeloom.llm import embed_dedup, minhash
+from mergeloom.llm import components, embed_dedup, minhash
 from mergeloom.llm.components import connected_components
 
 
@@ -142,6 +142,25 @@ def test_components(spark, rows):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = work()
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_few_links_take_few_jobs(spark, rows, monkeypatch):
+    rng = np.random.default_rng(5)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(-300, 300, (280, 2))] + [(1000 + i, 1001 + i) for i in range(60)], "a long, b long")
+    few, jobs = jobs_of(spark, "few links", lambda: rows(connected_components(links)))
+    assert jobs <= 8  # however many rounds they would take
+    monkeypatch.setattr(components, "TASK_LINKS", -1)
+    many, more = jobs_of(spark, "many links", lambda: rows(connected_components(links)))
+    assert few == many and more > jobs
+
+
 def vectors(seed, n, d):
     rng = np.random.default_rng(seed)
     out = []
