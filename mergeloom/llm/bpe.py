@@ -156,25 +156,33 @@ def _with(df: DataFrame, name: str, kind: str) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name.replace('`', '``')}` {kind}"
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids, array<int>.
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column of token ids, array<int>, and if ``decoded`` names one, a column of the bytes that ``decode`` gets from them.
 
     Null and empty texts have no ids.  Other columns are kept as they are; a
-    column that has the new one's name already raises ValueError.
+    column that has the new one's name already raises ValueError.  Decoded here,
+    ids need no second worker for each task.
     """
     ship(docs.sparkSession)
+    names, schema = [to], _with(docs, to, "array<int>")
+    if decoded is not None:
+        _with(docs, decoded, "binary")
+        names, schema = [to, decoded], f"{schema}, `{decoded.replace('`', '``')}` binary"
 
     def run(batches):
-        use = encoder(path, pattern)
+        use, back = encoder(path, pattern), decoder(path) if decoded is not None else None
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for part in slices(batch, _sizes(batch.column(at)), SLICE_BYTES):
                 ids = use.encode([t or "" for t in part.column(at).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate(ids).view(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat))], [*part.schema.names, to])
+                new = [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(flat))]
+                if back is not None:
+                    new.append(pa.array([back.decode(i) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
 
-    return docs.mapInArrow(run, _with(docs, to, "array<int>"))
+    return docs.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:

@@ -56,6 +56,15 @@ def test_columns_round_trip(spark, reference):
         bpe.encode(df, RANKS, PATTERN, to="text")
 
 
+def test_one_worker_encodes_and_decodes(spark, rows):
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    once, twice = bpe.encode(df, RANKS, PATTERN, decoded="decoded"), bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS)
+    assert rows(once) == rows(twice)
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    with pytest.raises(ValueError, match="there already"):
+        bpe.encode(df, RANKS, PATTERN, decoded="text")
+
+
 def test_full_cache_changes_nothing(monkeypatch, reference):
     monkeypatch.setattr(bpe, "CACHE_TOKENS", 3)
     small = bpe.Encoder(RANKS, PATTERN)

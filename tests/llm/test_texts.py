@@ -233,6 +233,13 @@ def test_recall_of_other_parameters(spark):
     assert got <= set(want)
 
 
+def test_later_steps_hold_no_literals_of_the_benchmark(spark):
+    docs = spark.createDataFrame([(1, "If Anna buys 12 kg of apples for 30 dollars, how much does she pay for each of them?")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "If Bob buys 15 kg of apples for 40 dollars, how much does he pay for each of them?")], "item_id long, text string")
+    plan = decontam.contaminated(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "apples" not in plan and "regexp_extract_all" not in plan
+
+
 def test_parts_of_a_benchmark(spark, rows, monkeypatch):
     bench = spark.createDataFrame([(i, re.sub(r"\{(\w)\}", "Alice", q)) for i, q in enumerate(QUESTIONS)], "item_id long, text string")
     docs = bench.selectExpr("item_id AS doc_id", "text")
