@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # --- counters ---
 
 
@@ -104,6 +106,49 @@ def dotted_descends(a: Column, b: Column) -> Column:
 # --- gossip ---
 
 
+def _undominated(states: DataFrame, rank: Column) -> DataFrame:
+    """Rows (key, best): of each clock that no other of its key dominates, the entry of the greatest rank.
+
+    A clock is dominated if another has at least its count for every node and more
+    for one.  What is dominated is so by a clock that isn't, so clocks can go one
+    step after another: first those under the highest of the same nodes, then those
+    under the highest of the key.  Another that dominates one of the rest stands
+    before it in the list, by count, of each of its nodes; so a clock meets the
+    first, then the others, only in that of its lists where fewest stand before it.
+    """
+    kind = states.schema["clock"].dataType
+    counts = F.array_sort(F.filter(F.map_entries(F.coalesce("clock", F.create_map().cast(kind))), lambda e: e["value"] > 0))
+    height = F.aggregate("c", F.lit(0).cast("decimal(38,0)"), lambda s, e: (s + e["value"]).cast("decimal(38,0)"))
+    clocks = states.where("key IS NOT NULL").select("key", counts.alias("c"), F.struct("value", "tombstone").alias("best"), rank.alias("rank")).groupBy("key", "c").agg(F.max_by("best", "rank").alias("best"))
+    clocks = clocks.withColumn("height", height).withColumn("nodes", F.transform("c", lambda e: e["key"]))
+
+    def under(c: str, d: str) -> Column:
+        short = F.map_zip_with(F.map_from_entries(c), F.map_from_entries(d), lambda _, x, y: F.coalesce(x, F.lit(0)) > F.coalesce(y, F.lit(0)))
+        return (F.col(c) != F.col(d)) & ~F.exists(F.map_values(short), lambda more: more)
+
+    first = F.max_by("c", F.struct("height", "c")).alias("d"), F.max("height").alias("h")
+    alike = clocks.groupBy("key", "nodes").agg(*first)
+    left = clocks.join(alike.select("key", "nodes", "d"), ["key", "nodes"]).where(~under("c", "d")).drop("d", "nodes")
+    highest = alike.groupBy("key").agg(F.max_by("d", F.struct("h", "d")).alias("d"))
+    left = left.join(highest, "key").where(~under("c", "d")).drop("d").withColumn("id", F.sha2(F.to_json("c"), 256))
+    shared_dir(states.sparkSession)
+    left = left.checkpoint()
+
+    before = Window.partitionBy("key", "node").orderBy(F.desc("n"), F.desc("height"), "id")
+    lists = left.select("key", "id", "height", F.explode("c").alias("e")).select("key", "id", "height", F.col("e.key").alias("node"), F.col("e.value").alias("n")).withColumn("at", F.row_number().over(before))
+    shortest = lists.groupBy("key", "id").agg(F.min(F.struct("at", "node")).alias("s")).where("s.at > 1").select("key", "id", "s.node", "s.at")
+    others = lists.select("key", "node", F.col("id").alias("other"), F.col("at").alias("of"))
+
+    def dominated(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left.select("key", "id", "c"), ["key", "id"]).join(left.select("key", F.col("id").alias("other"), F.col("c").alias("d")), ["key", "other"])
+        return both.where(under("c", "d")).select("key", "id").distinct()
+
+    out = dominated(shortest.join(others.where("of = 1"), ["key", "node"]))
+    left = left.join(out, ["key", "id"], "left_anti")
+    rest = shortest.where("at > 2").join(out, ["key", "id"], "left_anti").join(others.where("of > 1"), ["key", "node"]).where("of < at")
+    return left.join(dominated(rest), ["key", "id"], "left_anti").select("key", "best")
+
+
 def gossip_merge(states: DataFrame, mode: str = "causal") -> DataFrame:
     """Entries (key, value, clock, tombstone) of all replicas as one for each key; clocks merge to the greatest.
 
@@ -116,17 +161,7 @@ def gossip_merge(states: DataFrame, mode: str = "causal") -> DataFrame:
     if mode == "reference":
         best = states.groupBy("key").agg(F.max_by(F.struct("value", "tombstone"), rank).alias("best"))
     elif mode == "causal":
-        # An entry is dominated if another of its key has at least its count for every node and more for one:
-        # with the sum of counts as height, such another is higher.  Only the distinct clocks of a key meet.
-        # Where one has seen all that any has, the others are under it; only other keys' clocks meet.
-        full = lambda clock, of: F.forall(F.map_entries(of), lambda e: F.coalesce(F.try_element_at(clock, e["key"]), F.lit(0)) >= e["value"])
-        states = states.join(merged, "key").withColumn("top", full(F.col("clock"), F.col("merged"))).drop("merged")
-        topped = states.where("top").select("key").distinct().withColumn("topped", F.lit(True))
-        states = states.join(topped, "key", "left").where("topped IS NULL OR top").drop("top")
-        clocks = states.where("topped IS NULL").select("key", "clock", F.to_json("clock").alias("c")).dropDuplicates(["key", "c"])
-        pairs = clocks.alias("x").join(clocks.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c"))).where(clock_compare(F.col("x.clock"), F.col("y.clock")) == "before")
-        under = pairs.select(F.col("x.key").alias("key"), F.col("x.c").alias("c")).distinct()
-        best = states.withColumn("c", F.to_json("clock")).join(under, ["key", "c"], "left_anti").groupBy("key").agg(F.max_by(F.struct("value", "tombstone"), rank).alias("best"))
+        best = _undominated(states, rank).groupBy("key").agg(F.max_by("best", F.struct(F.col("best.value").cast("string").alias("v"), F.col("best.tombstone"))).alias("best"))
     else:
         raise ValueError("mode is 'causal' or 'reference'")
     return best.join(merged, "key").select("key", "best.value", F.col("merged").alias("clock"), "best.tombstone")
@@ -165,8 +200,6 @@ def agent_facts(facts: DataFrame) -> DataFrame:
 
 def agent_messages(messages: DataFrame, group: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """Messages (agent, message, timestamp) each once, by time; of each group the latest ``most``."""
-    from pyspark.sql import Window
-
     out = messages.dropDuplicates([*group, "agent", "message", "timestamp"])
     if most is None:
         return out
@@ -197,7 +230,5 @@ def contributions(adds: DataFrame, removed: DataFrame, id_col: str = "model_id",
     """
     live = adds.join(removed.select(tag).distinct(), tag, "left_anti")
     order = {"version": [F.desc(version), F.asc(content)], "last": [F.desc("ts"), F.asc(content)], "first": [F.asc("ts"), F.asc(content)]}[keep]
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(*order, F.asc(tag)))
     return live.withColumn("__n", rank).where("__n = 1").drop("__n")

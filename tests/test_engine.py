@@ -1,6 +1,7 @@
 """Language, schemas, dedup, nested values, deltas, state, sketches, governance."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,37 @@ def test_state(spark, rows):
     assert rows(state.contributions(adds, adds.where("tag = 't4'")), "model_id", "tag") == [("m", "t3")]
 
 
+def most_rows(df):
+    """The most rows that one step of the plan made."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if "QueryStage" in node.nodeName() else None
+        todo += [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_gossip_meets_few_clocks(spark):
+    kind = "key long, value string, clock map<string,bigint>, tombstone boolean"
+    chains = [(0, f"{i % 4}-{i:04}", {f"n{i % 4}": i + 1}, False) for i in range(1200)]
+    got = state.gossip_merge(spark.createDataFrame(chains, kind))
+    assert most_rows(got) <= 2 * len(chains) and got.first().value == "3-1199"
+    rng, rows, best = random.Random(3), [], {}
+    for key in range(24):
+        for _ in range(rng.randint(1, 40)):
+            clock = {n: rng.randint(0, (2, 5, 50)[key % 3]) for n in "abcdef"[: 1 + key % 6] if rng.random() < (0.6, 0.9)[key % 2]}
+            rows.append((key, f"{rng.choice('xyz')}{rng.randint(0, 99)}", clock, rng.random() < 0.5))
+    count = lambda c, n: c.get(n, 0)
+    for key, value, clock, gone in rows:
+        others = [r[2] for r in rows if r[0] == key]
+        if not any(all(count(clock, n) <= count(o, n) for n in clock) and any(count(o, n) > count(clock, n) for n in o) for o in others):
+            best[key] = max(best.get(key, ("", False)), (value, gone))
+    assert {r.key: (r.value, r.tombstone) for r in state.gossip_merge(spark.createDataFrame(rows, kind)).collect()} == best
+
+
 def test_sketches(spark):
     df = spark.range(20_000).withColumn("i", F.col("id") % 8000)
     half = [sketch.hll(df.where(f"i % 2 = {r}").withColumn("g", F.lit(1)), ["g"], "i") for r in (0, 1)]
