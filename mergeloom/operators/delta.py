@@ -15,6 +15,9 @@ from ..functions.strategies import MergeSchema
 from ..functions.values import as_list, last_of_each, ordered
 from .merge import Schema, joined
 
+#: So many versions of a table are broadcast.
+VERSIONS = 100_000
+
 
 def content(df: DataFrame, keys: Sequence[str]) -> Column:
     """A hash of all cells but the key's, by name; null differs from the empty text."""
@@ -77,14 +80,20 @@ def compose_deltas(deltas: Sequence[DataFrame], key: str | Sequence[str]) -> Dat
 
 
 def version_history(states: DataFrame, key: str | Sequence[str], version: str) -> DataFrame:
-    """Deltas between consecutive versions that one table holds: the key, version, _op."""
+    """Deltas between consecutive versions that one table holds: the key, version, _op.
+
+    A version has as many rows as the table had, so rows are never dealt by it: up
+    to ``VERSIONS`` of them go to every task.
+    """
     keys = as_list(key)
-    hashed = states.select(*keys, version, content(states.drop(version), keys).alias("h"))
-    versions = states.select(version).distinct().withColumn("__next", F.lead(version).over(Window.orderBy(version)))
+    hashed = states.select(*keys, version, F.unhex(content(states.drop(version), keys)).alias("h"))
+    versions = states.select(version).distinct()
+    few = versions.limit(VERSIONS + 1).count() <= VERSIONS
+    versions = versions.withColumn("__next", F.lead(version).over(Window.orderBy(version)))
     order = Window.partitionBy(*keys).orderBy(version)
-    seen = hashed.join(versions, version).withColumn("__before", F.lag(F.struct(version, "h", "__next")).over(order)).withColumn("__after", F.lead(version).over(order))
-    came = seen.where(F.col("__before").isNull() | (F.col("__before.__next") != F.col(version)) | (F.col("__before.h") != F.col("h")))
-    put = came.select(*keys, version, F.when(F.col("__before").isNull() | (F.col("__before.__next") != F.col(version)), "added").otherwise("modified").alias("_op"))
-    gone = seen.where(F.col("__next").isNotNull() & (F.col("__after").isNull() | (F.col("__after") != F.col("__next"))))
-    return put.unionByName(gone.select(*keys, F.col("__next").alias(version), F.lit("removed").alias("_op")))
-
+    seen = hashed.join(F.broadcast(versions) if few else versions, version).withColumn("__before", F.lag(F.struct(version, "h", "__next")).over(order)).withColumn("__after", F.lead(version).over(order))
+    added = F.col("__before").isNull() | (F.col("__before.__next") != F.col(version))
+    put = F.when(added, "added").when(F.col("__before.h") != F.col("h"), "modified")
+    gone = F.col("__next").isNotNull() & (F.col("__after").isNull() | (F.col("__after") != F.col("__next")))
+    ops = F.array(F.struct(F.col(version), put.alias("_op")), F.struct(F.col("__next").alias(version), F.when(gone, "removed").alias("_op")))
+    return seen.select(*keys, F.explode(ops).alias("__op")).where("__op._op IS NOT NULL").select(*keys, F.col("__op")[version].alias(version), "__op._op")

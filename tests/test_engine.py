@@ -128,6 +128,19 @@ def test_deltas(spark, rows):
     assert rows(delta.version_history(states, "k", "n").where("n = 2"), "k", "_op") == [(1, "modified"), (2, "removed"), (3, "added")]
 
 
+def test_history_is_not_dealt_by_version(spark, rows, monkeypatch):
+    states = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 4), (2, "a", 1), (2, "a", 4), (3, None, 2), (3, "", 4)], "k long, v string, n long")
+    want = [(1, 1, "added"), (1, 4, "modified"), (2, 1, "added"), (2, 2, "removed"), (2, 4, "added"), (3, 2, "added"), (3, 4, "modified")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = delta.version_history(states, "k", "n")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and rows(got) == want
+        monkeypatch.setattr(delta, "VERSIONS", 2)
+        assert rows(delta.version_history(states, "k", "n")) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_merkle(spark, rows):
     df = lambda *r: spark.createDataFrame(list(r), "k long, v string")
     a, b = df((1, "a"), (2, "b"), (3, "c")), df((2, "b"), (3, "x"), (4, "d"))
