@@ -17,6 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A limit is taken over a window, not joined from an aggregate of its own: sums of
+# doubles differ in their last bits with the order in which rows come, so that what
+# is worked out twice need not meet its own limit.
+
 #: Below this a sum of weights counts as none.
 TINY = 1e-12
 
@@ -71,9 +75,8 @@ def task_arithmetic(df: DataFrame, base: DataFrame, scale: float = 1.0, weights:
 def _trimmed(df: DataFrame, keep: float, nonzero: bool) -> DataFrame:
     """Distances under their model's and layer's percentile become 0."""
     size = F.abs(F.col("t"))
-    cuts = df.where(size > 0) if nonzero else df
-    cut = cuts.groupBy("model_id", "layer").agg(F.percentile(F.abs("t"), F.lit(1 - keep)).alias("cut"))
-    return df.join(cut, ["model_id", "layer"], "left").withColumn("t", F.when(size >= F.coalesce("cut", F.lit(0.0)), F.col("t")).otherwise(0.0))
+    cut = F.percentile(F.when(size > 0, size) if nonzero else size, F.lit(1 - keep)).over(Window.partitionBy("model_id", "layer"))
+    return df.withColumn("cut", cut).withColumn("t", F.when(size >= F.coalesce("cut", F.lit(0.0)), F.col("t")).otherwise(0.0))
 
 
 def ties(df: DataFrame, base: DataFrame, density: float = 0.2, weights: Mapping | None = None) -> DataFrame:
@@ -123,8 +126,8 @@ def negative(df: DataFrame, base: DataFrame, alpha: float = 1.0, unlearn: Sequen
 def split_unlearn(df: DataFrame, base: DataFrame, fraction: float = 0.1) -> DataFrame:
     """The mean, with the fraction of positions furthest from the base put back to it."""
     mean = _deltas(df, base).groupBy("layer", "pos").agg(F.first("b").alias("b"), F.avg("w").alias("m"))
-    cut = mean.groupBy("layer").agg(F.percentile(F.abs(F.col("m") - F.col("b")), F.lit(1 - fraction)).alias("cut"))
-    return mean.join(cut, "layer").select("layer", "pos", F.when(F.abs(F.col("m") - F.col("b")) > F.col("cut"), F.col("b")).otherwise(F.col("m")).alias("w"))
+    cut = F.percentile(F.abs(F.col("m") - F.col("b")), F.lit(1 - fraction)).over(Window.partitionBy("layer"))
+    return mean.withColumn("cut", cut).select("layer", "pos", F.when(F.abs(F.col("m") - F.col("b")) > F.col("cut"), F.col("b")).otherwise(F.col("m")).alias("w"))
 
 
 def safe_merge(df: DataFrame, base: DataFrame, fraction: float = 0.1, weights: Mapping | None = None) -> DataFrame:
@@ -133,9 +136,9 @@ def safe_merge(df: DataFrame, base: DataFrame, fraction: float = 0.1, weights: M
     over = Window.partitionBy("layer")
     ranked = s.withColumn("n", F.count("*").over(over)).withColumn("r", F.row_number().over(over.orderBy(F.desc("v"), "pos"))).withColumn("top", F.max("v").over(over))
     k = F.greatest(F.lit(1), F.floor(F.col("n") * fraction))
-    cut = ranked.where(F.col("r") == k).select("layer", F.col("v").alias("cut"))
+    cut = F.max(F.when(F.col("r") == k, F.col("v"))).over(over)
     frozen = (F.col("v") >= F.col("cut")) & (F.col("top") > 0)
-    return ranked.join(cut, "layer").join(base.select("layer", "pos", F.col("w").alias("b")), ["layer", "pos"]).select("layer", "pos", F.when(frozen, F.col("b")).otherwise(F.col("m")).alias("w"))
+    return ranked.withColumn("cut", cut).join(base.select("layer", "pos", F.col("w").alias("b")), ["layer", "pos"]).select("layer", "pos", F.when(frozen, F.col("b")).otherwise(F.col("m")).alias("w"))
 
 
 def led_merge(df: DataFrame) -> DataFrame:

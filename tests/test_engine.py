@@ -257,6 +257,13 @@ def test_models(spark, rows):
     assert v.select(model.unlearn(F.col("a"), F.col("b"), "negmerge", 0.5)).first()[0] == [0.5, 2.0]
 
 
+def test_model_limits_are_worked_out_once(spark, rows):
+    w = spark.createDataFrame([(m, layer, pos, float((m * 7 + pos * pos) % 11)) for m in range(4) for layer in "KL" for pos in range(20)], "model_id long, layer string, pos int, w double")
+    base = w.groupBy("layer", "pos").agg(F.min("w").alias("w")).localCheckpoint()
+    for fn in (model.safe_merge, model.ties, model.breadcrumbs, model.emr, model.split_unlearn):
+        assert fn(w, base)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2, fn.__name__
+
+
 def test_governance(spark, rows):
     df = spark.createDataFrame([(1, "Ann", "ann@x.org"), (2, None, "none")], "id long, name string, mail string")
     policy = governance.Policy(frozenset({"merge"}), deny=frozenset({"mail"}), most_rows=2)
