@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Callable, Mapping, Sequence
+import tempfile
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from fnmatch import fnmatchcase
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,10 @@ from pyspark.sql import functions as F
 # doubles differ in their last bits with the order in which rows come, so that what
 # is worked out twice need not meet its own limit.
 
+#: Bytes of weights that a task reads at once where it needs all models of a layer, one model at least.
+BLOCK_BYTES = 16 << 20
+#: Rows of a batch that a task returns.
+OUT_ROWS = 100_000
 #: Below this a sum of weights counts as none.
 TINY = 1e-12
 
@@ -187,21 +195,143 @@ def safety_risk(layers: DataFrame) -> DataFrame:
 # --- whole tensors ---
 
 
-def _per_layer(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray | None], np.ndarray], base: DataFrame | None) -> DataFrame:
-    """``fn(models x positions, base)`` for each layer, models in order of id."""
-    rows = df.select("layer", F.col("model_id").cast("string").alias("model_id"), F.col("pos").cast("long").alias("pos"), F.col("w").cast("double").alias("w"))
-    if base is not None:
-        rows = rows.unionByName(base.select("layer", F.lit(None).cast("string").alias("model_id"), F.col("pos").cast("long").alias("pos"), F.col("w").cast("double").alias("w")))
+def _spread(w: np.ndarray, pos: np.ndarray, every: np.ndarray) -> np.ndarray:
+    wide = np.full(every.size, np.nan)
+    wide[np.searchsorted(every, pos)] = w
+    return wide
+
+
+class _Models:
+    """The models of one layer, a row of weights each, in order of id; above ``BLOCK_BYTES`` in a file that is read by blocks of rows."""
+
+    def __init__(self) -> None:
+        self.file, self.pos, self.n = tempfile.SpooledTemporaryFile(BLOCK_BYTES), None, 0
+
+    def add(self, pos: np.ndarray, w: np.ndarray) -> None:
+        if self.pos is None:
+            self.pos = pos
+        elif not np.array_equal(pos, self.pos):  # what a model lacks is NaN
+            every = np.union1d(self.pos, pos)
+            if every.size > self.pos.size:
+                old, was = self.blocks(), self.pos
+                wider = _Models()
+                wider.pos = every
+                for block in old:
+                    for row in block:
+                        wider._write(_spread(row, was, every))
+                self.file, self.pos = wider.file, every
+            w = _spread(w, pos, every)
+        self._write(w)
+
+    def _write(self, w: np.ndarray) -> None:
+        self.file.seek(8 * self.pos.size * self.n)
+        self.file.write(np.ascontiguousarray(w, np.float64))
+        self.n += 1
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        step = max(1, BLOCK_BYTES // (8 * self.pos.size))
+        for at in range(0, self.n, step):
+            self.file.seek(8 * self.pos.size * at)
+            rows = min(step, self.n - at)
+            yield np.frombuffer(self.file.read(8 * self.pos.size * rows)).reshape(rows, -1)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (row for block in self.blocks() for row in block)
+
+    def mean(self) -> np.ndarray:
+        return sum(block.sum(0) for block in self.blocks()) / self.n
+
+    def mix(self, c: np.ndarray) -> np.ndarray:
+        """``c @ models``."""
+        out, at = 0.0, 0
+        for block in self.blocks():
+            out = out + c[..., at : at + len(block)] @ block
+            at += len(block)
+        return out
 
-    based = base is not None
+    def each(self, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """A number for each model, by ``fn`` of a block."""
+        return np.concatenate([fn(block) for block in self.blocks()])
+
+
+def _mean(rows: Iterable[np.ndarray]) -> np.ndarray:
+    total, n = 0.0, 0
+    for row in rows:
+        total, n = total + row, n + 1
+    return total / n
+
+
+def _ends(column: pa.Array) -> np.ndarray:
+    """Where runs of equal values end."""
+    return pc.run_end_encode(column).run_ends.to_numpy()
+
+
+def _tensors(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(layer, model, positions, weights) of sorted rows."""
+    key, parts = None, []
+
+    def whole() -> tuple:
+        pos, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if (pos[1:] == pos[:-1]).any():
+            raise ValueError(f"a position of layer {key[0]} has two weights of model {key[1]}")
+        return *key, pos, w
+
+    for batch in batches:
+        layers, ids = batch.column("layer"), batch.column("model_id")
+        pos, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "w"))
+        start = 0
+        for end in np.union1d(_ends(layers), _ends(ids)) if batch.num_rows else ():
+            own = layers[start].as_py(), ids[start].as_py()
+            if own != key:
+                if parts:
+                    yield whole()
+                key, parts = own, []
+            parts.append((pos[start:end], w[start:end]))
+            start = end
+    if parts:
+        yield whole()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        models = pdf[pdf["model_id"].notna()].pivot(index="model_id", columns="pos", values="w").sort_index().sort_index(axis=1)
-        b = pdf[pdf["model_id"].isna()].sort_values("pos")["w"].to_numpy() if based else None
-        out = fn(models.to_numpy(), b)
-        return pd.DataFrame({"layer": pdf["layer"].iloc[0], "pos": models.columns.to_numpy(), "w": out})
 
-    return rows.groupBy("layer").applyInPandas(run, f"layer {dict(df.dtypes)['layer']}, pos long, w double")
+def _per_layer(df: DataFrame, fn: Callable[[_Models, np.ndarray | None], np.ndarray], base: DataFrame | None) -> DataFrame:
+    """``fn(models, base)`` for each layer, models in order of id.
+
+    A layer's rows pass one task, sorted: it holds the layer's tensors one by one
+    and never all models.
+    """
+    kind, based = dict(df.dtypes)["layer"], base is not None
+    cells = ["layer", *(F.col(c).cast(t).alias(c) for c, t in (("model_id", "string"), ("pos", "long"), ("w", "double")))]
+    rows = df.where("model_id IS NOT NULL").select(*cells)
+    if based:
+        rows = rows.unionByName(base.withColumn("model_id", F.lit(None)).select(*cells))
+
+    def result(layer, models: _Models, b: tuple | None, of: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if based:
+            pos, w = b or (np.zeros(0), np.zeros(0))
+            here = np.isin(pos, models.pos)
+            if here.sum() != models.pos.size:
+                raise ValueError(f"the base lacks positions of layer {layer}")
+            w = w[here]
+        out = fn(models, w if based else None)
+        for at in range(0, out.size, OUT_ROWS):
+            n = min(OUT_ROWS, out.size - at)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(layer, of), n), pa.array(models.pos[at : at + n], pa.int64()), pa.array(out[at : at + n], pa.float64(), from_pandas=True)], ["layer", "pos", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        of = first.schema.field("layer").type
+        for layer, tensors in groupby(_tensors(chain([first], batches)), key=lambda t: t[0]):
+            models, b = _Models(), None
+            for _, model, pos, w in tensors:
+                if model is None:
+                    b = pos, w
+                else:
+                    models.add(pos, w)
+            if models.n:
+                yield from result(layer, models, b, of)
+
+    return rows.repartition("layer").sortWithinPartitions("layer", "model_id", "pos").mapInArrow(run, f"layer {kind}, pos long, w double")
 
 
 def _slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
@@ -219,9 +349,8 @@ def _slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 def slerp(df: DataFrame, t: float | None = None) -> DataFrame:
     """Along the arc, model by model in order of id; t by default makes each count the same."""
     def fn(models, _):
-        out = models[0]
-        for i, m in enumerate(models[1:], 1):
-            out = _slerp(out, m, 1 / (i + 1) if t is None else t)
+        for i, m in enumerate(models):
+            out = _slerp(out, m, 1 / (i + 1) if t is None else t) if i else m
         return out
 
     return _per_layer(df, fn, None)
@@ -236,7 +365,7 @@ def dare(df: DataFrame, base: DataFrame, drop: float = 0.5, seed: int = 42) -> D
     """Distances dropped at random and rescaled; one seeded generator runs through the models in order of id."""
     def fn(models, b):
         rng = random.Random(seed)
-        return b + np.mean([_dropped(m - b, drop, rng) for m in models], axis=0)
+        return b + _mean(_dropped(m - b, drop, rng) for m in models)
 
     return _per_layer(df, fn, base)
 
@@ -244,14 +373,16 @@ def dare(df: DataFrame, base: DataFrame, drop: float = 0.5, seed: int = 42) -> D
 def della(df: DataFrame, base: DataFrame, drop: float = 0.5, spread: float = 0.2, seed: int = 42) -> DataFrame:
     """As dare, but the smaller a distance, the likelier it is dropped."""
     def fn(models, b):
-        rng, out = random.Random(seed), []
-        for m in models:
+        rng = random.Random(seed)
+
+        def thinned(m):
             tau = m - b
             rank = np.argsort(np.argsort(np.abs(tau))) / max(tau.size - 1, 1)
             p = np.clip(drop + spread * (0.5 - rank), 0, 1 - 1e-6)
             keep = np.array([rng.random() for _ in range(tau.size)]) >= p
-            out.append(np.where(keep, tau / (1 - p), 0.0))
-        return b + np.mean(out, axis=0)
+            return np.where(keep, tau / (1 - p), 0.0)
+
+        return b + _mean(map(thinned, models))
 
     return _per_layer(df, fn, base)
 
@@ -260,13 +391,18 @@ def dare_ties(df: DataFrame, base: DataFrame, drop: float = 0.5, density: float
     """Distances dropped at random, trimmed to the largest ``density`` of what is left, then a sign for each position: the sum of equal shares that agree over their number."""
     def fn(models, b):
         rng = random.Random(seed)
-        taus = np.stack([_dropped(m - b, drop, rng) for m in models])
-        for t in taus:
+        signs, sums, counts = np.zeros(b.size), np.zeros((2, b.size)), np.zeros((2, b.size))  # of positive and negative distances
+        for m in models:
+            t = _dropped(m - b, drop, rng)
             left = np.abs(t[t != 0])
             if left.size:
                 t[np.abs(t) < np.percentile(left, 100 * (1 - density))] = 0.0
-        agree = (np.sign(taus) == np.sign(np.sign(taus).sum(0))) & (taus != 0)
-        return b + np.where(agree, taus / len(models), 0).sum(0) / np.maximum(agree.sum(0), 1)
+            signs += np.sign(t)
+            for i, own in enumerate((t > 0, t < 0)):
+                sums[i] += np.where(own, t / models.n, 0.0)
+                counts[i] += own
+        agreed = lambda x: np.where(signs > 0, x[0], np.where(signs < 0, x[1], 0.0))
+        return b + agreed(sums) / np.maximum(agreed(counts), 1)
 
     return _per_layer(df, fn, base)
 
@@ -289,7 +425,7 @@ def star(df: DataFrame, base: DataFrame, fraction: float = 0.5, rescale: bool =
         size = np.linalg.norm(out)
         return out * (np.linalg.norm(t) / size) if rescale and size > 0 else out
 
-    return _per_layer(df, lambda models, b: b + np.mean([cut(m - b) for m in models], axis=0), base)
+    return _per_layer(df, lambda models, b: b + _mean(cut(m - b) for m in models), base)
 
 
 def adarank(df: DataFrame, base: DataFrame, energy: float = 0.9, columns: int = 0) -> DataFrame:
@@ -306,26 +442,28 @@ def adarank(df: DataFrame, base: DataFrame, energy: float = 0.9, columns: int =
         k = int(np.searchsorted(np.cumsum(s**2), energy * (s**2).sum()) + 1)
         return ((u[:, :k] * s[:k]) @ v[:k]).ravel()
 
-    return _per_layer(df, lambda models, b: b + np.mean([cut(m - b) for m in models], axis=0), base)
+    return _per_layer(df, lambda models, b: b + _mean(cut(m - b) for m in models), base)
 
 
 def svd_knot_tying(df: DataFrame, base: DataFrame, columns: int = 0, rank: int | None = None) -> DataFrame:
     """Distances whose left singular vectors are rotated onto the first model's (orthogonal Procrustes), averaged; vectors are averaged as they are."""
     def fn(models, b):
-        stack = [_matrix(m - b, columns) for m in models]
-        if stack[0] is None:
-            return models.mean(0)
-        parts, first = [np.linalg.svd(x, full_matrices=False) for x in stack], None
-        tied = []
-        for u, s, v in parts:
+        if _matrix(b, columns) is None:
+            return models.mean()
+        first = None
+
+        def tied(m):
+            nonlocal first
+            u, s, v = np.linalg.svd(_matrix(m - b, columns), full_matrices=False)
             u, s, v = u[:, :rank], s[:rank], v[:rank]
             if first is None:
                 first = u
             else:
                 left, _, right = np.linalg.svd(u.T @ first)
                 u = u @ (left @ right)
-            tied.append((u * s) @ v)
-        return b + np.mean(tied, axis=0).ravel()
+            return (u * s) @ v
+
+        return b + _mean(map(tied, models)).ravel()
 
     return _per_layer(df, fn, base)
 
@@ -333,8 +471,9 @@ def svd_knot_tying(df: DataFrame, base: DataFrame, columns: int = 0, rank: int |
 def weight_scope_alignment(df: DataFrame) -> DataFrame:
     """Models brought to mean 0 and deviation 1, averaged, and scaled back to the mean of means and deviations."""
     def fn(models, _):
-        mean, dev = models.mean(1, keepdims=True), models.std(1, keepdims=True)
-        return ((models - mean) / np.maximum(dev, TINY)).mean(0) * dev.mean() + mean.mean()
+        mean, dev = models.each(lambda x: x.mean(1)).mean(), models.each(lambda x: x.std(1)).mean()
+        scaled = (((x - x.mean(1, keepdims=True)) / np.maximum(x.std(1, keepdims=True), TINY)).sum(0) for x in models.blocks())
+        return sum(scaled) / models.n * dev + mean
 
     return _per_layer(df, fn, None)
 
@@ -344,9 +483,9 @@ def dual_projection(df: DataFrame, base: DataFrame, plasticity: float = 0.5, col
     def fn(models, b):
         width = columns if _matrix(b, columns) is not None else b.size
         _, _, v = np.linalg.svd(b.reshape(-1, width), full_matrices=False)
-        p = v[:rank].T @ v[:rank]
-        out = [((m - b).reshape(-1, width) @ (np.eye(width) - (1 - plasticity) * p)).ravel() for m in models]
-        return b + np.mean(out, axis=0)
+        # linear, so the mean distance stands for all
+        t, v = (models.mean() - b).reshape(-1, width), v[:rank]
+        return b + (t - (1 - plasticity) * (t @ v.T) @ v).ravel()
 
     return _per_layer(df, fn, base)
 
@@ -365,10 +504,11 @@ def ada_merging(df: DataFrame, bins: int = 64, rate: float = 0.01, steps: int =
             entropy.append(-(p[p > 0] * np.log(p[p > 0])).sum())
         c = _softmax(-np.array(entropy))
         for _ in range(steps):
-            distance = ((models - c @ models) ** 2).mean(1)
+            mixed = models.mix(c)
+            distance = models.each(lambda x, mixed=mixed: ((x - mixed) ** 2).mean(1))
             c = c * (1 - rate * distance / max(distance.sum(), TINY))
             c = c / c.sum()
-        return c @ models
+        return models.mix(c)
 
     return _per_layer(df, fn, None)
 
@@ -376,11 +516,12 @@ def ada_merging(df: DataFrame, bins: int = 64, rate: float = 0.01, steps: int =
 def dam(df: DataFrame, rate: float = 0.01, steps: int = 50) -> DataFrame:
     """Equal coefficients, moved step by step towards the models nearest the merge."""
     def fn(models, _):
-        c = np.full(len(models), 1 / len(models))
+        c = np.full(models.n, 1 / models.n)
         for _ in range(steps):
-            near = 1 / (1 + np.linalg.norm(models - c @ models, axis=1))
+            mixed = models.mix(c)
+            near = 1 / (1 + models.each(lambda x, mixed=mixed: np.linalg.norm(x - mixed, axis=1)))
             c = (1 - rate) * c + rate * near / near.sum()
-        return c @ models
+        return models.mix(c)
 
     return _per_layer(df, fn, None)
 
@@ -393,15 +534,17 @@ def evolutionary(df: DataFrame, population: int = 20, generations: int = 50, fit
     """Coefficients by evolution: the better half of each generation mutates, the best ever seen merges."""
     def fn(models, _):
         rng = np.random.default_rng(seed)
-        crowd, spread = rng.dirichlet(np.ones(len(models)), population), 0.3
-        best = max(crowd, key=lambda c: fitness(c @ models))
-        for _ in range(generations):
-            crowd = np.array(sorted(crowd, key=lambda c: -fitness(c @ models)))[: max(1, population // 2)]
-            if fitness(crowd[0] @ models) > fitness(best @ models):
-                best = crowd[0]
-            young = np.abs(crowd[rng.integers(len(crowd), size=population - len(crowd))] + rng.normal(0, spread, (population - len(crowd), len(models)))) + TINY
+        crowd, spread = rng.dirichlet(np.ones(models.n), population), 0.3
+        best, most = None, None
+        for _ in range(max(1, generations)):
+            worth = np.array([fitness(x) for x in models.mix(crowd)])
+            order = np.argsort(-worth, kind="stable")[: max(1, population // 2)]
+            crowd = crowd[order]
+            if best is None or worth[order[0]] > most:
+                best, most = crowd[0], worth[order[0]]
+            young = np.abs(crowd[rng.integers(len(crowd), size=population - len(crowd))] + rng.normal(0, spread, (population - len(crowd), models.n))) + TINY
             crowd, spread = np.concatenate([crowd, young / young.sum(1, keepdims=True)]), spread * 0.97
-        return best @ models
+        return models.mix(best)
 
     return _per_layer(df, fn, None)
 
@@ -409,16 +552,16 @@ def evolutionary(df: DataFrame, population: int = 20, generations: int = 50, fit
 def genetic(df: DataFrame, population: int = 20, generations: int = 50, mutation: float = 0.1, fitness: Callable[[np.ndarray], float] = _fitness, seed: int = 42) -> DataFrame:
     """Coefficients by tournaments, uniform crossover and mutation; the best stays in."""
     def fn(models, _):
-        rng, n = np.random.default_rng(seed), len(models)
+        rng, n = np.random.default_rng(seed), models.n
         crowd = rng.dirichlet(np.ones(n), population)
         for _ in range(generations):
-            worth = np.array([fitness(c @ models) for c in crowd])
+            worth = np.array([fitness(x) for x in models.mix(crowd)])
             parents = rng.integers(population, size=(2, population - 1, 2))
             winners = np.where(worth[parents[..., 0]] >= worth[parents[..., 1]], parents[..., 0], parents[..., 1])
             young = np.where(rng.random((population - 1, n)) < 0.5, crowd[winners[0]], crowd[winners[1]])
             young = np.abs(young + np.where(rng.random(young.shape) < mutation, rng.normal(0, mutation, young.shape), 0)) + TINY
             crowd = np.concatenate([crowd[[worth.argmax()]], young / young.sum(1, keepdims=True)])
-        return max(crowd, key=lambda c: fitness(c @ models)) @ models
+        return max(models.mix(crowd), key=fitness)
 
     return _per_layer(df, fn, None)
 
@@ -426,7 +569,7 @@ def genetic(df: DataFrame, population: int = 20, generations: int = 50, mutation
 def representation_surgery(df: DataFrame, method: str = "center", columns: int = 0) -> DataFrame:
     """The mean, its drift put right: to the inputs' mean ('center'), also to their variance ('rescale'), or decorrelated first ('whiten')."""
     def fn(models, _):
-        out, mean, dev = models.mean(0), models.mean(), np.sqrt(models.var(1).mean())
+        out, mean, dev = models.mean(), models.each(lambda x: x.mean(1)).mean(), np.sqrt(models.each(lambda x: x.var(1)).mean())
         if method == "whiten" and columns and out.size % columns == 0:
             x = (out - out.mean()).reshape(-1, columns)
             values, basis = np.linalg.eigh(np.cov(x.T) + TINY * np.eye(columns))

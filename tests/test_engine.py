@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -264,6 +265,27 @@ def test_model_limits_are_worked_out_once(spark, rows):
         assert fn(w, base)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2, fn.__name__
 
 
+def test_models_of_a_layer_are_read_by_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(model, "BLOCK_BYTES", 100)  # 4 rows of 3 weights
+    rng = np.random.default_rng(1)
+    w, c, own = rng.normal(size=(9, 3)), rng.normal(size=(2, 9)), model._Models()
+    for row in w:
+        own.add(np.arange(3), row)
+    assert [len(b) for b in own.blocks()] == [4, 4, 1] and (np.array(list(own)) == w).all()
+    assert np.allclose(own.mix(c), c @ w) and np.allclose(own.mean(), w.mean(0)) and np.allclose(own.each(lambda b: b.sum(1)), w.sum(1))
+    own.add(np.array([1, 5]), np.array([7.0, 8.0]))
+    assert own.pos.tolist() == [0, 1, 2, 5] and np.array_equal(list(own), [*(list(r) + [np.nan] for r in w), [np.nan, 7, np.nan, 8]], equal_nan=True)
+    df = spark.createDataFrame([(m, layer, pos, float(m + pos)) for m in (2, 10, 1) for layer in ("K", None) for pos in range(3)], "model_id long, layer string, pos int, w double")
+    base = df.where("model_id = 1").drop("model_id")
+    for name in ("slerp", "dual_projection", "dare_ties", "star", "weight_scope_alignment", "representation_surgery", "dam", "genetic_merge"):
+        fn, needs = model.STRATEGIES[name]
+        out = fn(df, base) if needs else fn(df)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString(), name
+    assert rows(model.dual_projection(df, base, 1.0), "layer", "pos", "w") == [(k, p, pytest.approx(13 / 3 + p)) for k in ("K", None) for p in range(3)]
+    with pytest.raises(Exception, match="two weights"):
+        model.slerp(df.union(df)).collect()
+
+
 def test_governance(spark, rows):
     df = spark.createDataFrame([(1, "Ann", "ann@x.org"), (2, None, "none")], "id long, name string, mail string")
     policy = governance.Policy(frozenset({"merge"}), deny=frozenset({"mail"}), most_rows=2)
